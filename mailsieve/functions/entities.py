@@ -35,22 +35,24 @@ def code_point(n: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
 
 
-def _numeric(n: Column) -> Column:
-    in_plane = F.pmod(n, F.lit(0x10000))
-    dropped = (
-        n.between(0x1, 0x8)
-        | (n == 0xB)
-        | n.between(0xE, 0x1F)
-        | (n == 0x7F)
-        | n.between(0xFDD0, 0xFDEF)
-        | in_plane.isin(0xFFFE, 0xFFFF)
-    )
-    return (
-        F.when((n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), _REPLACEMENT)
-        .when(n.between(0x80, 0x9F), F.try_element_at(_literal_map(_windows_1252()), n.cast("string")))
-        .when(dropped, "")
-        .otherwise(code_point(n))
-    )
+def _numeric(number: Column) -> Column:
+    def character(n: Column) -> Column:
+        dropped = (
+            n.between(0x1, 0x8)
+            | (n == 0xB)
+            | n.between(0xE, 0x1F)
+            | (n == 0x7F)
+            | n.between(0xFDD0, 0xFDEF)
+            | F.pmod(n, F.lit(0x10000)).isin(0xFFFE, 0xFFFF)
+        )
+        return (
+            F.when((n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), _REPLACEMENT)
+            .when(n.between(0x80, 0x9F), F.try_element_at(_literal_map(_windows_1252()), n.cast("string")))
+            .when(dropped, "")
+            .otherwise(code_point(n))
+        )
+
+    return let(number, character)
 
 
 def _segment(s: Column) -> Column:

@@ -11,7 +11,6 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mailsieve.functions.headers import charset, content_type, transfer_encoding
 from mailsieve.functions.markup import html_to_text
 from mailsieve.functions.patterns import or_empty, strip
 from mailsieve.schema import PARTS_TYPE
@@ -97,27 +96,28 @@ def _base64(body: Column) -> Column:
     return F.try_to_binary(F.regexp_replace(body, r"[^A-Za-z0-9+/=]", ""), F.lit("base64"))
 
 
-def needs_parser(unfolded: Column, body: Column) -> Column:
-    """Whether the native expressions cannot read this message."""
-    kind, name, coding = content_type(unfolded), charset(unfolded), transfer_encoding(unfolded)
+def needs_parser(kind: Column, name: Column, coding: Column, body: Column) -> Column:
+    """Whether the native expressions cannot read a message of this content
+    type, charset and transfer encoding."""
     flat = ~kind.startswith("multipart/") & ~kind.startswith("message/")
     identity = coding.isin(*_IDENTITY) & name.isin(*_UTF8, *_ASCII)
     encoded = (coding == "base64") & name.isin(*_UTF8) & _base64(body).isNotNull()
     return ~(flat & (identity | encoded))
 
 
-def message_parts(raw: Column, unfolded: Column, body: Column, parser: Column) -> Column:
+def message_parts(
+    raw: Column, kind: Column, name: Column, coding: Column, body: Column, parser: Column
+) -> Column:
     """Array of parts; ``parser`` says which rows take the Arrow path."""
-    name = charset(unfolded)
     text = (
-        F.when(transfer_encoding(unfolded) == "base64", decode_lossy(_base64(body)))
+        F.when(coding == "base64", decode_lossy(_base64(body)))
         .when(name.isin(*_ASCII), F.regexp_replace(body, r"[^\x00-\x7f]", ""))
         .otherwise(body)
     )
     flat = F.array(
         F.struct(
             F.lit(0).alias("part_no"),
-            content_type(unfolded).alias("content_type"),
+            kind.alias("content_type"),
             F.when(name == "", "utf-8").otherwise(name).alias("charset"),
             text.alias("text"),
             F.when(name.isin(*_ASCII), body).alias("utf8_text"),

@@ -109,6 +109,18 @@ def assign(vectors: DataFrame, cells: Cells) -> DataFrame:
     )
 
 
+def without_surplus_copies(index: DataFrame, k: int) -> DataFrame:
+    """Drop the copies of a vector that can be in no result.
+
+    Copies tie in distance and ties go by uid, so of equal vectors only the k
+    lowest uids can be among the k nearest of any query. The limit is applied
+    before the shuffle too, so a vector that a third of all messages share
+    leaves k rows per task.
+    """
+    rank = F.row_number().over(Window.partitionBy("embedding").orderBy("uid"))
+    return index.withColumn("_copy", rank).where(F.col("_copy") <= k).drop("_copy")
+
+
 def summarize(index: DataFrame, cells: Cells, k: int) -> CellSummary:
     """Per-cell figures; at most k rows of each cell reach the driver."""
     n = len(cells)
@@ -272,6 +284,7 @@ def cell_join(
     block_queries: int = BLOCK_QUERIES,
 ) -> DataFrame:
     """Search by cells: exact, or approximate with ``nprobe`` cells per query."""
+    index = without_surplus_copies(index, k)
     summary = summarize(index, cells, k)
     routed = route(queries, cells, summary, k, nprobe)
     asked = np.zeros(len(cells), np.int64)

@@ -52,5 +52,5 @@ def keyword_match(words: list[str]) -> Column:
 
 
 def uid_in(emails: DataFrame, uids: DataFrame) -> DataFrame:
-    """Messages whose uid is in the given column of uids."""
-    return emails.join(uids.select("uid"), "uid", "left_semi")
+    """Messages whose uid is in the given column of uids, however often."""
+    return emails.join(uids.select("uid").distinct(), "uid", "left_semi")

@@ -18,12 +18,15 @@ def parse_messages(raw: DataFrame) -> DataFrame:
         .withColumn("_block", headers.header_block(F.col("text")))
         .withColumn("headers", headers.unfold(F.col("_block")))
         .withColumn("_body", headers.message_body(F.col("text"), F.col("_block")))
-        .withColumn("_parser", mime.needs_parser(F.col("headers"), F.col("_body")))
+        .withColumn("_kind", headers.content_type(F.col("headers")))
+        .withColumn("_charset", headers.charset(F.col("headers")))
+        .withColumn("_coding", headers.transfer_encoding(F.col("headers")))
+        .withColumn("_parser", mime.needs_parser(*map(F.col, ("_kind", "_charset", "_coding", "_body"))))
         .withColumn(
             "parts",
-            mime.message_parts(F.col("raw"), F.col("headers"), F.col("_body"), F.col("_parser")),
+            mime.message_parts(*map(F.col, ("raw", "_kind", "_charset", "_coding", "_body", "_parser"))),
         )
-        .drop("raw", "text", "_block", "_body", "_parser")
+        .drop("raw", "text", "_block", "_body", "_kind", "_charset", "_coding", "_parser")
     )
 
 

@@ -30,7 +30,8 @@ def upsert(base: DataFrame, changes: DataFrame, key: str, seq: Sequence[str]) ->
     base is not shuffled. ``seq`` columns order the changes and are not stored.
     """
     newest = latest(changes, key, seq).select(*base.columns)
-    return base.join(changes.select(key), key, "left_anti").select(*base.columns).unionByName(newest)
+    changed = changes.select(key).distinct()
+    return base.join(changed, key, "left_anti").select(*base.columns).unionByName(newest)
 
 
 def cleared(table: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from mailsieve.operators.ingest import accepted, ingest, ingest_counts, reject_c
 from mailsieve.operators.parse import explode_parts, parse_messages, with_headers
 from mailsieve.operators.status import index_drift, status, status_rows
 from mailsieve.plans import search as searches
-from mailsieve.plans.sync import State, sync
+from mailsieve.plans.sync import State, run_sync
 from mailsieve.session import work_folder
 from mailsieve.sources import tables, views
 from mailsieve.streaming import ingest as streams
@@ -126,7 +126,8 @@ def _old_state(spark, folder, epoch: str):
 
 def _synced(spark, folder, epoch):
     raw = views.raw_mail_view(spark, folder)
-    return sync(raw, _old_state(spark, folder, epoch), FETCHED_AT, vectors.hashing_embedder(DIM))
+    old, target = _old_state(spark, folder, epoch), work_folder(spark, "state")
+    return run_sync(spark, raw, old, target, FETCHED_AT, vectors.hashing_embedder(DIM))
 
 
 def _state_rows(state):

@@ -172,7 +172,7 @@ ORACLE["s3_emails_scan"] = over(CLEAN, "SELECT * EXCLUDE (reject_reason) FROM in
 ORACLE["r1_stream_ingest"] = ORACLE["s3_emails_scan"]
 ORACLE["r2_stream_dedup"] = "SELECT DISTINCT user_id FROM events"
 ORACLE["s5_embeddings_scan"] = """
-SELECT cast(vec_id AS varchar) uid, cast(unnest(range(len(embedding))) AS integer) at,
+SELECT cast(vec_id AS varchar) uid, cast(unnest(range(len(embedding))) AS integer) "at",
        cast(unnest(embedding) AS double) x FROM embeddings"""
 
 SYNCED = (
@@ -462,7 +462,7 @@ ORACLE["v1_embed_new"] = over(
 ORACLE["v2_normalize"] = """
 WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: cast(x * (label + 2) AS float)) v FROM embeddings),
 n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE))) n FROM s)
-SELECT vec_id, cast(unnest(range(len(v))) AS integer) at,
+SELECT vec_id, cast(unnest(range(len(v))) AS integer) "at",
   round(cast(cast(unnest(v)::DOUBLE / n AS float) AS double), 4) x FROM n"""
 
 HIT = "uid, round(distance, 5) distance, round(1 - distance, 5) similarity_score"

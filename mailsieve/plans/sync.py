@@ -53,9 +53,9 @@ def read_state(spark: SparkSession, folder: str) -> State:
 
 
 def run_sync(
-    spark: SparkSession, raw: DataFrame, old: str, new: str, now: str, embedder: Embedder | None = None
+    spark: SparkSession, raw: DataFrame, state: State, folder: str, now: str, embedder: Embedder | None = None
 ) -> State:
-    """Sync from the state in folder ``old`` to a state in the new folder ``new``.
+    """Sync from ``state`` to a new state, written below a new folder.
 
     Ingest runs once: its result is staged in the shared folder and read by
     all three writes. No path is overwritten while it is read, and a run that
@@ -64,8 +64,8 @@ def run_sync(
     staged = work_folder(spark, "sync")
     accepted(ingest(raw)).write.parquet(staged)
     valid = read_emails(spark, staged)
-    state = apply(raw, valid, read_state(spark, old), now, embedder or hashing_embedder())
-    write_emails(state.emails, f"{new}/emails")
-    write_vectors(state.vectors, f"{new}/vectors")
-    write_kv(state.kv, f"{new}/kv")
-    return read_state(spark, new)
+    new = apply(raw, valid, state, now, embedder or hashing_embedder())
+    write_emails(new.emails, f"{folder}/emails")
+    write_vectors(new.vectors, f"{folder}/vectors")
+    write_kv(new.kv, f"{folder}/kv")
+    return read_state(spark, folder)
