@@ -28,18 +28,24 @@ _FIELD_START = r"(?:[\x21-\x39\x3b-\x7e]*:|[ \t]|From )"
 
 
 def header_block(text: Column) -> Column:
-    """Everything before the first blank line or the first line that is no header."""
-    block = F.when(text.rlike(r"\A\r?\n"), "").otherwise(
-        F.element_at(F.split(text, r"\r?\n\r?\n", 2), 1)
-    )
+    """Everything before the first blank line or the first line that is no header.
+
+    The blank line is searched as plain bytes; patterns see the headers only.
+    """
+    unix, dos = F.locate("\n\n", text), F.locate("\n\r\n", text)
+    end = F.least(F.when(unix > 0, unix), F.when(dos > 0, dos), F.length(text))
+    starts_blank = text.startswith("\n") | text.startswith("\r\n")
+    block = F.when(starts_blank, "").otherwise(F.substring(text, F.lit(1), end))
     return F.regexp_replace(block, rf"(?md)^(?!{_FIELD_START})(?s:.*)", "")
 
 
 def message_body(text: Column, block: Column) -> Column:
     """What follows the header block and the blank line that ends it."""
     rest = F.substring(text, F.length(block) + 1, F.length(text))
-    return F.when(block == "", F.regexp_replace(rest, r"\A\r?\n", "")).otherwise(
-        F.regexp_replace(rest, r"\A\r?\n\r?\n", "")
+    return (
+        F.when(rest.startswith("\n"), F.substring(rest, F.lit(2), F.length(rest)))
+        .when(rest.startswith("\r\n"), F.substring(rest, F.lit(3), F.length(rest)))
+        .otherwise(rest)
     )
 
 

@@ -16,8 +16,6 @@ SPACE = (
 )
 WORD = r"\p{L}\p{N}_"
 
-# The same without the line feed, for matching inside one line.
-LINE_SPACE = SPACE.replace(r"\t-\r", r"\t\x0b-\r")
 
 SPACE_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
@@ -32,6 +30,20 @@ def collapse(c: Column) -> Column:
     return F.regexp_replace(c, f"[{SPACE}]+", " ")
 
 
+def replace_where(c: Column, marker: str, pattern: str, replacement: str) -> Column:
+    """Pattern replacement in texts that hold ``marker``.
+
+    The marker is a plain string that every match contains; texts without it,
+    which are most, are not put through the pattern engine.
+    """
+    return let(
+        c,
+        lambda text: F.when(
+            F.contains(text, F.lit(marker)), F.regexp_replace(text, pattern, replacement)
+        ).otherwise(text),
+    )
+
+
 def or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 

@@ -29,7 +29,9 @@ def spam_pattern(subject: Column, body: Column) -> Column:
     """First bulk-mail pattern found, or null."""
 
     def first_found(text: Column) -> Column:
-        found = F.when(text.rlike(f"(?d){SPAM_PATTERNS[0]}"), SPAM_PATTERNS[0])
+        start = SPAM_PATTERNS[0].split(".")[0]
+        within_line = F.contains(text, F.lit(start)) & text.rlike(f"(?d){SPAM_PATTERNS[0]}")
+        found = F.when(within_line, SPAM_PATTERNS[0])
         for phrase in SPAM_PATTERNS[1:]:
             found = found.when(F.contains(text, F.lit(phrase)), phrase)
         return found

@@ -19,7 +19,7 @@ Rules, read from the bottom of the message:
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mailsieve.functions.patterns import LINE_SPACE, SPACE, WORD, let, strip
+from mailsieve.functions.patterns import SPACE, WORD, let, replace_where, strip
 
 _HEADER_LINE = r"\*?(?:From|Sent|To|Subject):\*? [^\n]+"
 _SIGNATURE_START = rf"--|__|-[{WORD}]|Sent from my (?:[{WORD}]+[{SPACE}]*){{3}}"
@@ -27,24 +27,31 @@ _BREAK = "\x01"
 
 
 def line_kind(line: Column) -> Column:
-    bare = strip(line)
+    # Only lines with these beginnings are compared with the longer patterns.
+    header = F.contains(line, F.lit(":")) & line.rlike(rf"\A{_HEADER_LINE}")
+
+    def unquoted(bare: Column) -> Column:
+        signature = bare.startswith("-") | bare.startswith("_") | bare.startswith("Sent")
+        return (
+            F.when(bare == "", "b")
+            .when(signature & bare.rlike(rf"\A(?:{_SIGNATURE_START})"), "s")
+            .otherwise("p")
+        )
+
     return (
         F.when(line.startswith(">"), "q")
         .when(line.startswith("On") & line.endswith("wrote:"), "o")
-        .when(line.rlike(rf"\A{_HEADER_LINE}"), "h")
-        .when(bare == "", "b")
-        .when(bare.rlike(rf"\A(?:{_SIGNATURE_START})"), "s")
-        .otherwise("p")
+        .when(header, "h")
+        .otherwise(let(strip(line), unquoted))
     )
 
 
 def join_attribution(c: Column) -> Column:
     """Put an "On ... wrote:" header that was wrapped over lines on one line."""
     first = r"^(On[ \t][^\n]*+)(?<!wrote:)\n(?!On[ \t])"
-    middle = r"([^\n>][^\n]*+)(?<!wrote:)\n"
+    middle = r"(?:([^\n>][^\n]*+)(?<!wrote:)\n)?"
     last = r"(?!>)([^\n]*wrote:)$"
-    c = F.regexp_replace(c, f"(?md){first}{last}", "$1$2")
-    return F.regexp_replace(c, f"(?md){first}{middle}{last}", "$1$2$3")
+    return replace_where(c, "wrote:", f"(?md){first}{middle}{last}", "$1$2$3")
 
 
 def _visible_kinds(lines: Column) -> Column:
@@ -61,29 +68,33 @@ def _visible_kinds(lines: Column) -> Column:
 
 def _visible_lines(lines: Column) -> Column:
     def assemble(kinds: Column) -> Column:
-        # A dropped quoted line leaves a break, so that the texts around it can
-        # be trimmed before they are put on consecutive lines.
+        # A dropped quoted line leaves a break between two fragments.
         kept = F.zip_with(
             F.slice(lines, F.lit(1), F.length(kinds)),
             F.split(kinds, "(?!^)", -1),
             lambda line, kind: F.when(kind == "Q", _BREAK).otherwise(line),
         )
-        joined = F.array_join(kept, "\n")
-        joined = F.regexp_replace(joined, rf"[{SPACE}]*{_BREAK}[{SPACE}{_BREAK}]*", "\n")
-        return F.when(kinds == "", "").otherwise(strip(joined))
+        fragments = F.transform(F.split(F.array_join(kept, "\n"), _BREAK, -1), strip)
+        return F.when(kinds == "", "").otherwise(
+            F.array_join(F.filter(fragments, lambda fragment: fragment != ""), "\n")
+        )
 
     return let(_visible_kinds(lines), assemble)
 
 
+def _may_be_structured(text: Column) -> Column:
+    """Cheap test that lets plain messages pass as they are."""
+    found = text.startswith(">") | text.startswith("-")
+    for sign in ("\n>", "\n-", "--", "__", "wrote:", "From:", "Sent", "To:", "Subject:", " -"):
+        found = found | F.contains(text, F.lit(sign))
+    return found
+
+
 def visible_reply(c: Column) -> Column:
     """Text of the newest reply without quotes, their headers and signatures."""
-    structured = (
-        rf"(?md)^(?:>|\*?(?:From|Sent|To|Subject):|[{LINE_SPACE}]*(?:--|__|-[{WORD}]|Sent from my ))"
-        r"|wrote:$"
-    )
 
     def reply(text: Column) -> Column:
         lines = F.split(join_attribution(text), "\n", -1)
-        return F.when(text.rlike(structured), let(lines, _visible_lines)).otherwise(strip(text))
+        return F.when(_may_be_structured(text), let(lines, _visible_lines)).otherwise(strip(text))
 
     return let(F.replace(c, F.lit("\r\n"), F.lit("\n")), reply)

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mailsieve.functions.entities import unescape
-from mailsieve.functions.patterns import SPACE, WORD, collapse, let, or_empty, strip
+from mailsieve.functions.patterns import SPACE, WORD, collapse, let, or_empty, replace_where, strip
 from mailsieve.functions.reply import visible_reply
 
 # The placeholders that replace links and addresses, and the
@@ -26,37 +26,51 @@ def clean_subject(c: Column) -> Column:
 
 
 def normalize_newlines(c: Column) -> Column:
-    return F.regexp_replace(c, r"\n{3,}", "\n\n")
+    return replace_where(c, "\n\n\n", r"\n{3,}", "\n\n")
 
 
 def normalize_spaces(c: Column) -> Column:
-    return F.regexp_replace(c, r"[ \t]+", " ")
+    # Single spaces are left alone instead of being replaced by themselves.
+    def tidy(text: Column) -> Column:
+        needed = F.contains(text, F.lit("  ")) | F.contains(text, F.lit("\t"))
+        return F.when(needed, F.regexp_replace(text, r"\t[ \t]*| [ \t]+", " ")).otherwise(text)
+
+    return let(c, tidy)
 
 
 def strip_signature(c: Column) -> Column:
     """Cut everything from the first signature separator on."""
-    return F.regexp_replace(c, rf"--[{SPACE}]*\n(?s:.*)", "")
+    return replace_where(c, "--", rf"--[{SPACE}]*\n(?s:.*)", "")
 
 
 def strip_reply_attribution(c: Column) -> Column:
-    return F.regexp_replace(c, r"On [^\n]* wrote:", "")
+    return replace_where(c, " wrote:", r"On [^\n]* wrote:", "")
 
 
 def strip_quoted_headers(c: Column) -> Column:
     """Drop quoted header fields up to and including their line break."""
     for name in QUOTED_HEADERS:
-        c = F.regexp_replace(c, rf"{name}[^\n]*\n", "")
+        c = replace_where(c, name, rf"{name}[^\n]*\n", "")
     return c
 
 
 def mask_urls(c: Column) -> Column:
-    return F.regexp_replace(c, rf"https?://[^{SPACE}]+", URL_MARK)
+    return replace_where(c, "://", rf"https?://[^{SPACE}]+", URL_MARK)
 
 
 def mask_emails(c: Column) -> Column:
-    # \G lets a match begin inside a run only where the previous one ended.
+    # No address spans lines, so only lines with an @ are searched. \G lets a
+    # match begin inside a run only where the previous one ended.
     run = rf"[{WORD}.-]"
-    return F.regexp_replace(c, rf"(?:(?<!{run})|\G){run}++@{run}+\.[{WORD}]+", ADDRESS_MARK)
+    address = rf"(?:(?<!{run})|\G){run}++@{run}+\.[{WORD}]+"
+
+    def by_line(text: Column) -> Column:
+        lines = F.transform(
+            F.split(text, "\n", -1), lambda line: replace_where(line, "@", address, ADDRESS_MARK)
+        )
+        return F.when(F.contains(text, F.lit("@")), F.array_join(lines, "\n")).otherwise(text)
+
+    return let(c, by_line)
 
 
 def clean_body(c: Column) -> Column:
@@ -99,4 +113,4 @@ def search_text(subject: Column, body: Column) -> Column:
     c = F.concat(or_empty(subject), F.lit("\n\n"), or_empty(body))
     c = F.replace(c, F.lit(URL_MARK), F.lit(""))
     c = F.replace(c, F.lit(ADDRESS_MARK), F.lit(""))
-    return strip(F.regexp_replace(c, r"\n{2,}", "\n"))
+    return strip(replace_where(c, "\n\n", r"\n{2,}", "\n"))

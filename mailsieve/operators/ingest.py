@@ -17,21 +17,24 @@ def ingest(raw: DataFrame) -> DataFrame:
     ``reject_reason`` is null for the messages to keep. No shuffle: each
     message is read and decided on in place.
     """
+    subject = text.clean_subject(headers.header(F.col("headers"), "Subject"))
     chosen = (
         parse_messages(raw)
-        .withColumn("_unreadable", mime.unreadable(F.col("parts")))
-        .withColumn("_plain", mime.plain_text(F.col("parts")))
-        .withColumn("_html", mime.html_text(F.col("parts")))
+        .withColumns(
+            {
+                "_unreadable": mime.unreadable(F.col("parts")),
+                "_plain": mime.plain_text(F.col("parts")),
+                "_html": mime.html_text(F.col("parts")),
+            }
+        )
         .withColumn("_chosen", mime.choose_body(F.col("_plain"), F.col("_html")))
-        .withColumn("_subject", text.clean_subject(headers.header(F.col("headers"), "Subject")))
-        .withColumn("_body", text.clean_body(F.col("_chosen")))
         .select(
             "uid",
             "uidvalidity",
             "headers",
             "_unreadable",
-            F.when(F.col("_unreadable"), "").otherwise(F.col("_subject")).alias("subject"),
-            F.when(F.col("_unreadable"), "").otherwise(F.col("_body")).alias("body"),
+            F.when(F.col("_unreadable"), "").otherwise(subject).alias("subject"),
+            F.when(F.col("_unreadable"), "").otherwise(text.clean_body(F.col("_chosen"))).alias("body"),
         )
     )
     decided = chosen.withColumn(

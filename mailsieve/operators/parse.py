@@ -16,11 +16,19 @@ def parse_messages(raw: DataFrame) -> DataFrame:
     return settle(
         raw.withColumn("text", mime.decode_lossy(F.col("raw")))
         .withColumn("_block", headers.header_block(F.col("text")))
-        .withColumn("headers", headers.unfold(F.col("_block")))
-        .withColumn("_body", headers.message_body(F.col("text"), F.col("_block")))
-        .withColumn("_kind", headers.content_type(F.col("headers")))
-        .withColumn("_charset", headers.charset(F.col("headers")))
-        .withColumn("_coding", headers.transfer_encoding(F.col("headers")))
+        .withColumns(
+            {
+                "headers": headers.unfold(F.col("_block")),
+                "_body": headers.message_body(F.col("text"), F.col("_block")),
+            }
+        )
+        .withColumns(
+            {
+                "_kind": headers.content_type(F.col("headers")),
+                "_charset": headers.charset(F.col("headers")),
+                "_coding": headers.transfer_encoding(F.col("headers")),
+            }
+        )
         .withColumn("_parser", mime.needs_parser(*map(F.col, ("_kind", "_charset", "_coding", "_body"))))
         .withColumn(
             "parts",

@@ -61,9 +61,24 @@ def hashing_embedder(dim: int = 256) -> Embedder:
 
 
 def model_embedder(make_predict: Callable) -> Embedder:
-    """Embedding by a model that is loaded once per Python worker."""
-    predict = predict_batch_udf(make_predict, return_type=VECTOR_TYPE, batch_size=MODEL_BATCH)
-    return lambda text: l2_normalize(predict(or_empty(text)))
+    """Embedding by a model that is loaded once per Python worker.
+
+    ``make_predict`` returns a function from an array of texts to a matrix; its
+    rows are brought to unit length.
+    """
+
+    def make_unit_predict():
+        predict = make_predict()
+
+        def unit(texts: np.ndarray) -> np.ndarray:
+            rows = np.asarray(predict(texts), dtype=np.float64)
+            norms = np.linalg.norm(rows, axis=1, keepdims=True)
+            return (rows / np.where(norms == 0, 1, norms)).astype(np.float32)
+
+        return unit
+
+    predict = predict_batch_udf(make_unit_predict, return_type=VECTOR_TYPE, batch_size=MODEL_BATCH)
+    return lambda text: predict(or_empty(text))
 
 
 def l2_normalize(c: Column) -> Column:

@@ -60,10 +60,8 @@ def _two_epochs(spark, folder):
 
 def _raw_bodies(spark, folder):
     """uid and the uncleaned body of each raw message."""
-    raw = views.raw_mail_view(spark, folder)
-    return raw.select(
-        "uid", headers.message_body(F.col("raw"), headers.header_block(F.col("raw"))).alias("body")
-    )
+    raw = views.raw_mail_view(spark, folder).withColumn("block", headers.header_block(F.col("raw")))
+    return raw.select("uid", headers.message_body(F.col("raw"), F.col("block")).alias("body"))
 
 
 def _parsed_mime(spark, folder):

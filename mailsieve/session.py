@@ -1,10 +1,14 @@
 """What the library reads from the session."""
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, for checkpoints and staged tables.
@@ -22,3 +26,14 @@ def shared_folder(spark: SparkSession) -> str:
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A new, unused folder name below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Make this package importable on every executor, once per application."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root = Path(__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="mailsieve-package-")
+        context.addPyFile(shutil.make_archive(f"{folder}/{root.name}", "zip", root.parent, root.name))
+        _SHIPPED.add(context.applicationId)
+    return spark
