@@ -1,5 +1,7 @@
 """Mail and ISO dates as time-zone free timestamps."""
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,29 +38,21 @@ _ANY_ISO = (
 def _offset_minutes(zone: Column) -> Column:
     digits = F.regexp_replace(zone, r"[^0-9]", "")
     minutes = F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")
-    named = F.lit(None).cast("int")
-    for name, hours in ZONE_HOURS.items():
-        named = F.when(F.upper(zone) == name, hours * 60).otherwise(named)
     signed = F.when(zone.startswith("-"), -minutes).when(zone.startswith("+"), minutes)
-    return F.coalesce(signed, named, F.lit(0))
-
-
-def _to_utc(wall: Column, zone: Column) -> Column:
-    return F.timestamp_add("MINUTE", -_offset_minutes(zone), wall)
+    named = F.try_element_at(F.from_json(F.lit(json.dumps(ZONE_HOURS)), "map<string,int>"), F.upper(zone))
+    return F.coalesce(signed, named * 60, F.lit(0))
 
 
 def _assemble(c: Column, pattern: str, day: int, month: int) -> Column:
     group = lambda i: F.regexp_extract(c, pattern, i)
-    month_no = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(group(month)))
+    month_no = F.array_position(F.lit(list(MONTHS)), F.lower(group(month)))
     short = group(3).try_cast("int")
-    year = F.when(F.length(group(3)) > 2, short).when(short > 68, short + 1900).otherwise(short + 2000)
-    pad = lambda v: F.lpad(F.when(v == "", "0").otherwise(v), 2, "0")
-    text = F.concat(
-        F.lpad(year.cast("string"), 4, "0"), F.lit("-"),
-        F.lpad(month_no.cast("string"), 2, "0"), F.lit("-"), pad(group(day)), F.lit("T"),
-        pad(group(4)), F.lit(":"), pad(group(5)), F.lit(":"), pad(group(6)),
-    )
-    return F.when(c.rlike(pattern), _to_utc(text.try_cast("timestamp_ntz"), group(7)))
+    year = F.when(short > 99, short).when(short > 68, short + 1900).otherwise(short + 2000)
+    text = F.format_string(
+        "%04d-%02d-%02dT%2s:%2s:%2s", year, month_no, group(day).try_cast("int"), group(4), group(5), group(6)
+    )
+    # Parts of the clock that are absent or have one digit are padded with blanks so far.
+    return F.when(c.rlike(pattern), F.translate(text, " ", "0").try_cast("timestamp_ntz"))
 
 
 def parse_mail_date(c: Column) -> Column:
@@ -69,17 +63,14 @@ def parse_mail_date(c: Column) -> Column:
     """
 
     def parse(text: Column) -> Column:
-        date = F.regexp_extract(text, _ISO, 1)
-        clock = F.regexp_extract(text, _ISO, 2)
-        iso = F.concat(date, F.lit("T"), F.when(clock == "", "00:00").otherwise(clock))
-        return F.coalesce(
+        iso = F.regexp_replace(text, _ISO, "$1T$2")
+        wall = F.coalesce(
             _assemble(text, _MAIL_DATE, day=1, month=2),
             _assemble(text, _MONTH_FIRST, day=2, month=1),
-            F.when(
-                text.rlike(_ISO),
-                _to_utc(iso.try_cast("timestamp_ntz"), F.regexp_extract(text, _ISO, 3)),
-            ),
+            F.when(text.rlike(_ISO), F.rtrim(iso, F.lit("T")).try_cast("timestamp_ntz")),
         )
+        zone = F.regexp_extract(text, r"([+-]\d{2}:?\d{2}|[A-Za-z]+)\z", 1)
+        return F.timestamp_add("MINUTE", -_offset_minutes(zone), wall)
 
     return let(strip(F.regexp_replace(c, r"\([^()]*\)", "")), parse)
 

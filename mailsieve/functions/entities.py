@@ -13,6 +13,14 @@ _FREQUENT = ("amp;", "lt;", "gt;", "quot;", "apos;", "nbsp;", "copy;", "middot;"
 
 _REPLACEMENT = "\ufffd"
 
+# A numeric reference, or a name that is closed by a semicolon.
+_REFERENCE = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;)"
+
+# Control characters and noncharacters are left out.
+_DROPPED = r"[\x01-\x08\x0b\x0e-\x1f\x7f\x{fdd0}-\x{fdef}%s]" % "".join(
+    rf"\x{{{plane:x}fffe}}\x{{{plane:x}ffff}}" for plane in range(17)
+)
+
 
 def _literal_map(entries: dict[str, str]) -> Column:
     # One foldable expression instead of one literal per entry.
@@ -35,24 +43,30 @@ def code_point(n: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
 
 
-def _numeric(number: Column) -> Column:
-    def character(n: Column) -> Column:
-        dropped = (
-            n.between(0x1, 0x8)
-            | (n == 0xB)
-            | n.between(0xE, 0x1F)
-            | (n == 0x7F)
-            | n.between(0xFDD0, 0xFDEF)
-            | F.pmod(n, F.lit(0x10000)).isin(0xFFFE, 0xFFFF)
-        )
+def _character(number: Column) -> Column:
+    """The character a numeric reference stands for."""
+
+    def decode(n: Column) -> Column:
+        character = code_point(n)
         return (
             F.when((n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), _REPLACEMENT)
             .when(n.between(0x80, 0x9F), F.try_element_at(_literal_map(_windows_1252()), n.cast("string")))
-            .when(dropped, "")
-            .otherwise(code_point(n))
+            .when(character.rlike(_DROPPED), "")
+            .otherwise(character)
         )
 
-    return let(number, character)
+    return let(number, decode)
+
+
+def _number(reference: Column) -> Column:
+    """Value of ``#65`` or ``#x41``; anything too long is out of range."""
+    decimal = F.regexp_extract(reference, r"^#0*([0-9]*)", 1)
+    hexadecimal = F.regexp_extract(reference, r"^#[xX]0*([0-9a-fA-F]*)", 1)
+    value = F.when(
+        reference.rlike("^#[xX]"),
+        F.when(F.length(hexadecimal) < 7, F.conv(hexadecimal, 16, 10)),
+    ).otherwise(F.when(F.length(decimal) < 8, F.concat(F.lit("0"), decimal)))
+    return F.coalesce(F.when(value == "", "0").otherwise(value).try_cast("int"), F.lit(0x110000))
 
 
 def _segment(s: Column) -> Column:
@@ -61,44 +75,27 @@ def _segment(s: Column) -> Column:
     bare = {k: v for k, v in html5.items() if not k.endswith(";")}
     bare_alternatives = "|".join(sorted(bare, key=lambda k: (-len(k), k)))
 
-    name = F.regexp_extract(s, r"^([A-Za-z][A-Za-z0-9]*;)", 1)
-    full = F.coalesce(
-        F.try_element_at(_literal_map({k: named[k] for k in _FREQUENT}), name),
-        F.try_element_at(_literal_map(named), name),
-    )
-    prefix = F.regexp_extract(s, f"^({bare_alternatives})", 1)
-    digits = F.regexp_extract(s, r"^#0*([0-9]*);?", 1)
-    hex_digits = F.regexp_extract(s, r"^#[xX]0*([0-9a-fA-F]*);?", 1)
-
-    decimal = F.when(F.length(digits) > 7, F.lit(0x110000)).otherwise(
-        F.coalesce(digits.try_cast("int"), F.lit(0))
-    )
-    hexadecimal = F.when(F.length(hex_digits) > 6, F.lit(0x110000)).otherwise(
-        F.coalesce(F.conv(hex_digits, 16, 10).try_cast("int"), F.lit(0))
-    )
-
-    return (
-        F.when(
-            s.rlike(r"^#[0-9]"),
-            F.concat(_numeric(decimal), F.regexp_replace(s, r"^#[0-9]+;?", "")),
+    def resolve(name: Column) -> Column:
+        value = F.coalesce(
+            F.when(name.startswith("#"), _character(_number(name))),
+            F.try_element_at(_literal_map({k: named[k] for k in _FREQUENT}), name),
+            F.try_element_at(_literal_map(named), name),
         )
-        .when(
-            s.rlike(r"^#[xX][0-9a-fA-F]"),
-            F.concat(_numeric(hexadecimal), F.regexp_replace(s, r"^#[xX][0-9a-fA-F]+;?", "")),
-        )
-        .when(
-            (name != "") & full.isNotNull(),
-            F.concat(full, F.substring(s, F.length(name) + 1, F.length(s))),
-        )
-        .when(
-            prefix != "",
-            F.concat(
-                F.try_element_at(_literal_map(bare), prefix),
-                F.substring(s, F.length(prefix) + 1, F.length(s)),
-            ),
-        )
-        .otherwise(F.concat(F.lit("&"), s))
-    )
+
+        def splice(prefix: Column) -> Column:
+            return F.when(
+                prefix != "",
+                F.concat(
+                    F.try_element_at(_literal_map(bare), prefix),
+                    F.substring(s, F.length(prefix) + 1, F.length(s)),
+                ),
+            ).otherwise(F.concat(F.lit("&"), s))
+
+        rest = F.substring(s, F.length(name) + 1, F.length(s))
+        without_semicolon = let(F.regexp_extract(s, f"^({bare_alternatives})", 1), splice)
+        return F.coalesce(F.when(name != "", F.concat(value, rest)), without_semicolon)
+
+    return let(F.regexp_extract(s, _REFERENCE, 1), resolve)
 
 
 def unescape(c: Column) -> Column:
