@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailsieve.operators.vectors import matrix
+from mailsieve.session import work_folder
 
 MAX_CELLS = 4096
 BLOCK_VECTORS = 4096
@@ -121,6 +122,18 @@ def without_surplus_copies(index: DataFrame, k: int) -> DataFrame:
     return index.withColumn("_copy", rank).where(F.col("_copy") <= k).drop("_copy")
 
 
+def build_index(vectors: DataFrame, cells: Cells, k: int) -> DataFrame:
+    """The index for searches of up to k neighbours, as a table in the shared folder.
+
+    It is read several times by a search; written once, none of the reads goes
+    back to the vectors, also not when an executor is lost.
+    """
+    spark = vectors.sparkSession
+    path = work_folder(spark, "index")
+    assign(without_surplus_copies(vectors.select("uid", "embedding"), k), cells).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def summarize(index: DataFrame, cells: Cells, k: int) -> CellSummary:
     """Per-cell figures; at most k rows of each cell reach the driver."""
     n = len(cells)
@@ -280,11 +293,17 @@ def cell_join(
     cells: Cells,
     k: int,
     nprobe: int | None = None,
+    pruned: bool = False,
     block_vectors: int = BLOCK_VECTORS,
     block_queries: int = BLOCK_QUERIES,
 ) -> DataFrame:
-    """Search by cells: exact, or approximate with ``nprobe`` cells per query."""
-    index = without_surplus_copies(index, k)
+    """Search by cells: exact, or approximate with ``nprobe`` cells per query.
+
+    ``pruned`` says that the index was built without surplus copies for this k.
+    Figures per cell are collected when the plan is made.
+    """
+    if not pruned:
+        index = without_surplus_copies(index, k)
     summary = summarize(index, cells, k)
     routed = route(queries, cells, summary, k, nprobe)
     asked = np.zeros(len(cells), np.int64)
@@ -320,7 +339,7 @@ def knn_join(
     if (size or 0) <= small_bytes:
         return broadcast_join(queries, vectors, k)
     cells = kmeans_cells(vectors, n_cells)
-    return cell_join(queries, assign(vectors, cells), cells, k)
+    return cell_join(queries, build_index(vectors, cells, k), cells, k, pruned=True)
 
 
 def lsh_knn(
@@ -340,12 +359,12 @@ def recall_report(
     queries: DataFrame, vectors: DataFrame, cells: Cells, k: int, nprobe: int
 ) -> DataFrame:
     """Recall of the approximate search and the share of pairs it looked at."""
-    index = assign(vectors, cells)
+    index = build_index(vectors, cells, k)
     summary = summarize(index, cells, k)
     sizes = _per_cell(summary.size)
     pairs = route(queries, cells, summary, k, nprobe).agg(F.sum(sizes.cast("double")).alias("pairs"))
     exact = knn_join(queries, vectors, k)
-    approximate = cell_join(queries, index, cells, k, nprobe)
+    approximate = cell_join(queries, index, cells, k, nprobe, pruned=True)
     hits = exact.select("query_id", "uid").join(
         approximate.select("query_id", "uid", F.lit(1).alias("hit")), ["query_id", "uid"], "left"
     )

@@ -620,7 +620,8 @@ def v7_knn_join_cells(spark, folder):
     """The same by cells, as it is done for many queries."""
     vecs = views.vectors_view(spark, folder)
     at = cells.sampled_cells(vecs, CELLS)
-    return _rounded(cells.cell_join(_queries(spark, folder), cells.assign(vecs, at), at, NEIGHBOURS))
+    index = cells.build_index(vecs, at, NEIGHBOURS)
+    return _rounded(cells.cell_join(_queries(spark, folder), index, at, NEIGHBOURS, pruned=True))
 
 
 @query
@@ -635,8 +636,10 @@ def v7_search_many(spark, folder):
 def v8_ann_cells(spark, folder):
     vecs = views.vectors_view(spark, folder)
     at = cells.sampled_cells(vecs, CELLS)
-    index = cells.assign(vecs, at)
-    return _rounded(cells.cell_join(_queries(spark, folder), index, at, NEIGHBOURS, nprobe=PROBES))
+    index = cells.build_index(vecs, at, NEIGHBOURS)
+    return _rounded(
+        cells.cell_join(_queries(spark, folder), index, at, NEIGHBOURS, nprobe=PROBES, pruned=True)
+    )
 
 
 @query

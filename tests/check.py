@@ -29,7 +29,7 @@ for name, query in entry.queries().items():
         df = query(spark, folder)
         if name in oracle:
             found = compare(df, connection, oracle[name])
-            n = ""
+            n = f"{len(connection.execute(oracle[name]).fetchall())} rows"
         else:
             found, n = None, f"rows only: {df.count()}"
     except Exception as error:
