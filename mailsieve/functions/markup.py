@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mailsieve.functions.entities import unescape
-from mailsieve.functions.patterns import or_empty, strip
+from mailsieve.functions.patterns import or_empty, strip, up_to_last
 
 BLOCK_TAGS = (
     "address|article|aside|blockquote|body|caption|center|dd|div|dl|dt|fieldset|figure|footer|form|"
@@ -16,6 +16,16 @@ _HEADING = "\x02"
 _INDENT = "\x03"
 
 
+def _replace_tags(c: Column) -> Column:
+    c = F.regexp_replace(c, r"(?i)<br\b[^>]*>", "\n")
+    c = F.regexp_replace(c, r"(?i)<h([1-6])\b[^>]*>", f"\n\n{_HEADING}$1 ")
+    for level in range(1, 7):
+        c = F.replace(c, F.lit(f"{_HEADING}{level}"), F.lit("#" * level))
+    c = F.regexp_replace(c, r"(?i)<li\b[^>]*>", f"\n{_INDENT}* ")
+    c = F.regexp_replace(c, rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>", "\n\n")
+    return F.regexp_replace(c, r"</?[A-Za-z!][^>]*>", "")
+
+
 def html_to_text(c: Column) -> Column:
     """Visible text of an HTML document: no scripts, links, images or emphasis.
 
@@ -24,16 +34,10 @@ def html_to_text(c: Column) -> Column:
     """
     c = or_empty(c)
     c = F.regexp_replace(c, r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)", "")
-    c = F.regexp_replace(c, r"(?s)<!--.*?-->", "")
+    c = up_to_last(c, "-->", lambda t: F.regexp_replace(t, r"(?s)<!--.*?-->", ""))
     c = F.regexp_replace(c, r"(?is)<head\b.*?</head\s*>", "")
     c = F.regexp_replace(c, r"[ \t\r\n\f]+", " ")
-    c = F.regexp_replace(c, r"(?i)<br\b[^>]*>", "\n")
-    c = F.regexp_replace(c, r"(?i)<h([1-6])\b[^>]*>", f"\n\n{_HEADING}$1 ")
-    for level in range(1, 7):
-        c = F.replace(c, F.lit(f"{_HEADING}{level}"), F.lit("#" * level))
-    c = F.regexp_replace(c, r"(?i)<li\b[^>]*>", f"\n{_INDENT}* ")
-    c = F.regexp_replace(c, rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>", "\n\n")
-    c = F.regexp_replace(c, r"</?[A-Za-z!][^>]*>", "")
+    c = up_to_last(c, ">", _replace_tags)
     c = F.replace(unescape(c), F.lit("\u00a0"), F.lit(" "))
     c = F.regexp_replace(c, r" *\n *", "\n")
     c = F.regexp_replace(c, r"\n{3,}", "\n\n")

@@ -51,3 +51,17 @@ def or_empty(c: Column) -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it several times in ``body``."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def up_to_last(c: Column, end: str, change: Callable[[Column], Column]) -> Column:
+    """Apply ``change`` to the text up to the last ``end``; the rest is kept.
+
+    For patterns whose matches close with ``end``: a start without an end is
+    then never searched for, which would cost a scan of the rest each time.
+    """
+
+    def split(text: Column) -> Column:
+        rest = F.substring_index(text, end, -1)
+        return F.concat(change(F.left(text, F.length(text) - F.length(rest))), rest)
+
+    return let(c, split)

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mailsieve.functions.entities import unescape
-from mailsieve.functions.patterns import SPACE, WORD, collapse, let, or_empty, replace_where, strip
+from mailsieve.functions.patterns import SPACE, WORD, collapse, let, or_empty, replace_where, strip, up_to_last
 from mailsieve.functions.reply import visible_reply
 
 # The placeholders that replace links and addresses, and the
@@ -44,14 +44,36 @@ def strip_signature(c: Column) -> Column:
 
 
 def strip_reply_attribution(c: Column) -> Column:
-    return replace_where(c, " wrote:", r"On [^\n]* wrote:", "")
+    """In each line, drop from the first "On " to the last " wrote:" behind it."""
+
+    def drop(line: Column) -> Column:
+        start = F.locate("On ", line)
+        found = (start > 0) & F.contains(
+            F.substring(line, start + 3, F.length(line)), F.lit(" wrote:")
+        )
+        rest = F.substring_index(line, " wrote:", -1)
+        return F.when(found, F.concat(F.substring(line, F.lit(1), start - 1), rest)).otherwise(line)
+
+    def by_line(text: Column) -> Column:
+        lines = F.transform(F.split(text, "\n", -1), drop)
+        return F.when(F.contains(text, F.lit(" wrote:")), F.array_join(lines, "\n")).otherwise(text)
+
+    return let(c, by_line)
 
 
 def strip_quoted_headers(c: Column) -> Column:
-    """Drop quoted header fields up to and including their line break."""
-    for name in QUOTED_HEADERS:
-        c = replace_where(c, name, rf"{name}[^\n]*\n", "")
-    return c
+    """Drop quoted header fields up to and including their line break.
+
+    The last line has no line break and is kept aside, so that each field
+    searched for does have one.
+    """
+
+    def drop(ended: Column) -> Column:
+        for name in QUOTED_HEADERS:
+            ended = replace_where(ended, name, rf"{name}[^\n]*\n", "")
+        return ended
+
+    return up_to_last(c, "\n", drop)
 
 
 def mask_urls(c: Column) -> Column:
@@ -91,7 +113,7 @@ def clean_body(c: Column) -> Column:
 
 def clean_simple(c: Column) -> Column:
     """The light cleaner: tags, white space, forwarded tail, quoted tail, links."""
-    c = F.regexp_replace(or_empty(c), r"<[^>]+>", "")
+    c = up_to_last(or_empty(c), ">", lambda t: F.regexp_replace(t, r"<[^>]+>", ""))
     c = collapse(c)
     c = F.regexp_replace(c, r"(?s)(?<!-)-+ ?Original Message ?-.*", "")
 

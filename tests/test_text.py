@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,3 +140,11 @@ def test_html_to_text(apply):
     assert apply(markup.html_to_text, [page, link, "", None, "<script>open"]) == [
         "# Title\n\nThis is a test email.\n\n  * one\n  * two\n\na\nb é<p> 1 < 2", "Check this out!", "", "", "",
     ]
+
+
+@pytest.mark.parametrize("piece", ["w", "-", " ", "\n", "> q\n", "<", "On ", "From:", "a@", "<!--", "&", "\n--\nx", "On x\n"])
+def test_long_runs_stay_linear(spark, piece):
+    df = spark.range(1).select(F.repeat(F.lit(piece), 40000).alias("t"))
+    start = time.time()
+    df.select(*(F.length(f(F.col("t"))) for f in (text.clean_body, text.clean_simple, markup.html_to_text))).collect()
+    assert time.time() - start < 15
