@@ -1,10 +1,14 @@
 """Queries over whole tables, and their SQL twins where SQL can express them."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mailsieve.llm.common import table
 from mailsieve.llm.exact_dedup import exact_dedup
+from mailsieve.llm.language_id import language_id
+from mailsieve.llm.licenses import BREAK, RULES, SENTENCES, license_scan
 from mailsieve.llm.mixing import apply_mix
+from mailsieve.llm.secret_scan import secret_scan
 
 QUERIES, ORACLE = {}, {}
 
@@ -69,3 +73,46 @@ SELECT doc_id, size, source_size, target,
     WHEN reached - held <= budget AND held < 2 * (budget - (reached - held)) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM w
 """
+
+
+@query
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id(table(spark, folder, "documents"))
+
+
+@query
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan(table(spark, folder, "documents"))
+
+
+@query
+def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The arrays of the operator, joined by commas."""
+    found = license_scan(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses")
+    )
+
+
+def _values(rows: list[tuple[str, ...]]) -> str:
+    return ", ".join("(" + ", ".join(f"'{v}'" for v in row) + ")" for row in rows)
+
+
+# Sentences are found by a join here, and the rules as text of the joined identifiers.
+ORACLE["op6_license_scan"] = rf"""
+WITH known(form, name) AS (VALUES {_values([(form, name) for name, forms in SENTENCES.items() for form in forms])}),
+rule(rank, licence, line) AS (VALUES {", ".join(f"({n}, '{licence}', ' {'  '.join(ids)} ')" for n, (licence, ids) in enumerate(RULES))}),
+lines AS (
+  SELECT doc_id, string_split(regexp_replace(text, '{BREAK}', chr(10), 'g'), chr(10)) AS parts FROM documents),
+parts AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS n FROM lines),
+ids AS (
+  SELECT doc_id, n, name FROM parts
+  JOIN known ON form = trim(regexp_replace(lower(part), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))),
+seq AS (SELECT doc_id, list(name ORDER BY n) AS names FROM ids GROUP BY doc_id),
+hit AS (
+  SELECT doc_id, licence, min(rank) AS rank FROM seq JOIN rule ON contains(' ' || array_to_string(names, '  ') || ' ', line)
+  GROUP BY doc_id, licence),
+found AS (SELECT doc_id, string_agg(licence, ',' ORDER BY rank) AS licenses FROM hit GROUP BY doc_id)
+SELECT d.doc_id, coalesce(array_to_string(names, ','), '') AS sentence_ids, coalesce(licenses, '') AS licenses
+FROM documents d LEFT JOIN seq ON seq.doc_id = d.doc_id LEFT JOIN found ON found.doc_id = d.doc_id
+"""
