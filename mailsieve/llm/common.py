@@ -21,16 +21,26 @@ def stage(df: DataFrame, purpose: str) -> DataFrame:
     spark = df.sparkSession
     path = work_folder(spark, f"llm-{spark.sparkContext.applicationId}-{purpose}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged.staged_path = path
+    return staged
+
+
+def unstage(staged: DataFrame) -> None:
+    """Remove a staged table that nothing reads any more."""
+    _delete(staged.sparkSession, staged.staged_path)
+
+
+def _delete(spark: SparkSession, glob: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(glob)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in files.globStatus(path) or []:
+        files.delete(status.getPath(), True)
 
 
 def clear(spark: SparkSession) -> None:
     """Remove the staged tables of this application, once its results are written."""
-    jvm, folder = spark.sparkContext._jvm, shared_folder(spark)
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{folder}/llm-{spark.sparkContext.applicationId}-*")
-    files = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for status in files.globStatus(pattern) or []:
-        files.delete(status.getPath(), True)
+    _delete(spark, f"{shared_folder(spark)}/llm-{spark.sparkContext.applicationId}-*")
 
 
 def ascii_lower(text: Column) -> Column:

@@ -8,6 +8,7 @@ from mailsieve.llm.exact_dedup import exact_dedup
 from mailsieve.llm.language_id import language_id
 from mailsieve.llm.licenses import BREAK, RULES, SENTENCES, license_scan
 from mailsieve.llm.mixing import apply_mix
+from mailsieve.llm.ngram_join import ngram_join
 from mailsieve.llm.secret_scan import secret_scan
 
 QUERIES, ORACLE = {}, {}
@@ -116,3 +117,8 @@ found AS (SELECT doc_id, string_agg(licence, ',' ORDER BY rank) AS licenses FROM
 SELECT d.doc_id, coalesce(array_to_string(names, ','), '') AS sentence_ids, coalesce(licenses, '') AS licenses
 FROM documents d LEFT JOIN seq ON seq.doc_id = d.doc_id LEFT JOIN found ON found.doc_id = d.doc_id
 """
+
+
+@query
+def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join(table(spark, folder, "documents"))
