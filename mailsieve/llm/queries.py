@@ -7,6 +7,7 @@ from mailsieve.llm.common import table
 from mailsieve.llm.exact_dedup import exact_dedup
 from mailsieve.llm.language_id import language_id
 from mailsieve.llm.licenses import BREAK, RULES, SENTENCES, license_scan
+from mailsieve.llm.line_dedup import line_dedup
 from mailsieve.llm.mixing import apply_mix
 from mailsieve.llm.ngram_join import ngram_join
 from mailsieve.llm.secret_scan import secret_scan
@@ -122,3 +123,9 @@ FROM documents d LEFT JOIN seq ON seq.doc_id = d.doc_id LEFT JOIN found ON found
 @query
 def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join(table(spark, folder, "documents"))
+
+
+@query
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """The text that stays of every document, and how many chunks it lost."""
+    return line_dedup(table(spark, folder, "documents")).select("doc_id", "text", "n_removed")
