@@ -99,7 +99,7 @@ def _hashed(bits: int):
     return run
 
 
-def _own_tokens(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _own_tokens(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """For one bucket: per batch, how many tokens of each text no other text has."""
     parts = [np.frombuffer(t, np.uint32) for t in rows["tokens"]]
     tokens = np.concatenate(parts)
@@ -117,7 +117,7 @@ def _own_tokens(key, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _survivors(id_type: str):
-    def run(key, counts: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, counts: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
         """For one batch: the ids of the texts that may link."""
         own = sum((np.frombuffer(c, np.int32) for c in counts["own"]), np.zeros(1, np.int32))
         mine = own[texts["number"].to_numpy()] if len(own) > 1 or len(counts) else np.zeros(len(texts))

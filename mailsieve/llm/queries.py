@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailsieve.llm.common import table
+from mailsieve.llm.embedding_dedup import embedding_dedup
 from mailsieve.llm.exact_dedup import exact_dedup
 from mailsieve.llm.language_id import language_id
 from mailsieve.llm.licenses import BREAK, RULES, SENTENCES, license_scan
@@ -129,3 +130,24 @@ def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """The text that stays of every document, and how many chunks it lost."""
     return line_dedup(table(spark, folder, "documents")).select("doc_id", "text", "n_removed")
+
+
+@query
+def op4_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup(table(spark, folder, "embeddings"))
+
+
+# All pairs of a label, where the operator compares windows and open blocks.
+ORACLE["op4_embedding_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+low AS (SELECT a, min(b) AS low FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(least(low, vec_id), vec_id) AS component_id,
+  vec_id = coalesce(least(low, vec_id), vec_id) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN low ON low.a = vec_id
+"""
