@@ -1,6 +1,6 @@
 """Queries over whole tables, and their SQL twins where SQL can express them."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailsieve.llm.common import table
@@ -12,6 +12,7 @@ from mailsieve.llm.line_dedup import line_dedup
 from mailsieve.llm.mixing import apply_mix
 from mailsieve.llm.ngram_join import ngram_join
 from mailsieve.llm.secret_scan import secret_scan
+from mailsieve.llm.token_counts import apply_edits, n_tokens, with_trees
 
 QUERIES, ORACLE = {}, {}
 
@@ -151,3 +152,25 @@ SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(least(low, vec_id), vec_id) A
   vec_id = coalesce(least(low, vec_id), vec_id) AS kept
 FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN low ON low.a = vec_id
 """
+
+
+def _three_edits() -> Column:
+    """For every document: a word put in, characters taken out, characters replaced,
+    at places that follow from its id and length."""
+    size = F.coalesce(F.char_length("text"), F.lit(0))
+    place = [F.pmod(F.crc32(F.concat_ws(":", F.lit(k), "doc_id").cast("binary")), size + 1).cast("int") for k in range(3)]
+    edits = [(place[0], place[0], " edited text"), (place[1], place[1] + 17, ""), (place[2], place[2] + 5, "'ll\n ")]
+    return F.array(*(
+        F.struct(a.alias("start"), b.cast("int").alias("end"), F.lit(c).alias("insert")) for a, b, c in edits
+    ))
+
+
+@query
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document, before and after three edits."""
+    docs = with_trees(table(spark, folder, "documents").select("doc_id", "text")).withColumn("edits", _three_edits())
+    return apply_edits(docs).select(
+        "doc_id", n_tokens(F.col("tree")).alias("n_tokens"), F.size("tree.chars").alias("n_leaves"),
+        F.col("edited.n_tokens").alias("n_tokens_edited"), F.col("edited.n_chars").alias("n_chars_edited"),
+        F.col("edited.recounted_chars").alias("recounted_chars"),
+    )
