@@ -12,6 +12,7 @@ from mailsieve.llm.line_dedup import line_dedup
 from mailsieve.llm.mixing import apply_mix
 from mailsieve.llm.ngram_join import ngram_join
 from mailsieve.llm.secret_scan import secret_scan
+from mailsieve.llm.sentencepiece_codec import encode
 from mailsieve.llm.token_counts import apply_edits, n_tokens, with_trees
 
 QUERIES, ORACLE = {}, {}
@@ -174,3 +175,9 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
         F.col("edited.n_tokens").alias("n_tokens_edited"), F.col("edited.n_chars").alias("n_chars_edited"),
         F.col("edited.recounted_chars").alias("recounted_chars"),
     )
+
+
+@query
+def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every whole text, decoded again and compared with it."""
+    return encode(table(spark, folder, "documents"))
