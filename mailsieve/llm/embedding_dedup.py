@@ -85,7 +85,7 @@ def ranked(rows: DataFrame, p: int) -> DataFrame:
     return placed.join(F.broadcast(shifts), part == F.col("part")).select("key", (F.col("shift") + inside).alias(f"rank{p}"))
 
 
-def links_of(rows: pd.DataFrame, allowed) -> pd.DataFrame:
+def links_of(rows: pd.DataFrame, allowed, cosine: float) -> pd.DataFrame:
     """For the vectors of some rows that have a link among them: how many, and the
     smallest id that links inside these rows join them to.
 
@@ -96,7 +96,7 @@ def links_of(rows: pd.DataFrame, allowed) -> pd.DataFrame:
     degree, low = np.zeros(n, np.int64), ids.copy()
     for _, at in rows.groupby("kind").indices.items():
         matrix = unit(rows["vector"].to_numpy()[at])
-        hit = (matrix @ matrix.T >= COSINE) & allowed(at)
+        hit = (matrix @ matrix.T >= cosine) & allowed(at)
         hit |= hit.T
         degree[at] += hit.sum(1)
         # Spread the smallest id along links until nothing changes.
@@ -115,40 +115,44 @@ def _ranks(rows: pd.DataFrame) -> np.ndarray:
     return rows[[f"rank{p}" for p in range(PASSES)]].to_numpy()
 
 
-def _close(ranks: np.ndarray, at: np.ndarray, p: int) -> np.ndarray:
+def _close(ranks: np.ndarray, at: np.ndarray, p: int, window: int) -> np.ndarray:
     own = ranks[at, p]
-    return np.abs(own[:, None] - own[None, :]) <= WINDOW
+    return np.abs(own[:, None] - own[None, :]) <= window
 
 
-def _window_links(p: int):
+def _window_links(p: int, cosine: float, window: int, block: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        ranks, head = _ranks(rows), (rows[f"rank{p}"] // BLOCK == key[0]).to_numpy()
+        ranks, head = _ranks(rows), (rows[f"rank{p}"] // block == key[0]).to_numpy()
 
         def allowed(at):
             mine = head[at]
-            pairs = _close(ranks, at, p) & (mine[:, None] | mine[None, :]) & ~np.eye(len(at), dtype=bool)
+            pairs = _close(ranks, at, p, window) & (mine[:, None] | mine[None, :]) & ~np.eye(len(at), dtype=bool)
             for q in range(p):
-                pairs &= ~_close(ranks, at, q)
+                pairs &= ~_close(ranks, at, q, window)
             return pairs
 
-        return links_of(rows, allowed)
+        return links_of(rows, allowed, cosine)
 
     return run
 
 
-def _other_links(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def _other_links(cosine: float, window: int):
     """Pairs across two blocks, or inside one, that no window held."""
-    ranks, block = _ranks(rows), rows["block"].to_numpy()
 
-    def allowed(at):
-        pairs = ~np.eye(len(at), dtype=bool)
-        if key[0] != key[1]:
-            pairs &= block[at][:, None] != block[at][None, :]
-        for p in range(PASSES):
-            pairs &= ~_close(ranks, at, p)
-        return pairs
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        ranks, block = _ranks(rows), rows["block"].to_numpy()
 
-    return links_of(rows, allowed)
+        def allowed(at):
+            pairs = ~np.eye(len(at), dtype=bool)
+            if key[0] != key[1]:
+                pairs &= block[at][:, None] != block[at][None, :]
+            for p in range(PASSES):
+                pairs &= ~_close(ranks, at, p, window)
+            return pairs
+
+        return links_of(rows, allowed, cosine)
+
+    return run
 
 
 def _summary(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -160,7 +164,7 @@ def _summary(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": [key[0]], "kind": [key[1]], "centre": [centre.tolist()], "radius": [radius]})
 
 
-def open_blocks(rows: DataFrame) -> DataFrame:
+def open_blocks(rows: DataFrame, cosine: float) -> DataFrame:
     """Pairs of blocks (i, j) that may hold a link, of which i <= j."""
     about = rows.groupBy("block", "kind").applyInPandas(
         _summary, "block bigint, kind string, centre array<double>, radius double"
@@ -171,13 +175,14 @@ def open_blocks(rows: DataFrame) -> DataFrame:
     product = F.aggregate(F.zip_with("c", "d", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
     angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), product)))
     met = left.join(right, "kind").filter("i <= j")
-    return met.filter(angle - F.col("r") - F.col("s") <= math.acos(COSINE) + SLACK).select("i", "j").distinct()
+    return met.filter(angle - F.col("r") - F.col("s") <= math.acos(cosine) + SLACK).select("i", "j").distinct()
 
 
 def embedding_dedup(
-    embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label"
-) -> DataFrame:
-    """Per row: id, n_links, component_id, kept."""
+    embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
+    cosine: float = COSINE, window: int = WINDOW, block: int = BLOCK,
+) -> DataFrame:
+    """Per row: id, n_links, component_id, kept. ``window`` is at most ``block``."""
     given = stage(embeddings.select(
         F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"),
         F.col(vector_col).cast("array<double>").alias("vector"), F.col(label_col).cast("string").alias("label"),
@@ -195,20 +200,20 @@ def embedding_dedup(
     placed = rows.drop("width")
     for p in range(PASSES):
         placed = placed.join(ranked(hashed, p), "key")
-    placed = stage(placed.withColumn("block", F.floor(F.col("rank0") / BLOCK)), "ranked")
+    placed = stage(placed.withColumn("block", F.floor(F.col("rank0") / block)), "ranked")
 
     schema = "key bigint, id bigint, n bigint, low bigint"
     found = None
     for p in range(PASSES):
-        block = F.floor(F.col(f"rank{p}") / BLOCK)
-        reaches_back = F.col(f"rank{p}") % BLOCK < WINDOW
-        groups = F.when(reaches_back, F.array(block, block - 1)).otherwise(F.array(block))
+        own = F.floor(F.col(f"rank{p}") / block)
+        reaches_back = F.col(f"rank{p}") % block < window
+        groups = F.when(reaches_back, F.array(own, own - 1)).otherwise(F.array(own))
         near = placed.withColumn("group", F.explode(groups))
-        links = near.groupBy("group").applyInPandas(_window_links(p), schema)
+        links = near.groupBy("group").applyInPandas(_window_links(p, cosine, window, block), schema)
         found = links if found is None else found.union(links)
-    pairs = stage(open_blocks(placed), "block-pairs")
+    pairs = stage(open_blocks(placed, cosine), "block-pairs")
     sides = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    rest = placed.join(sides, "block").groupBy("i", "j").applyInPandas(_other_links, schema)
+    rest = placed.join(sides, "block").groupBy("i", "j").applyInPandas(_other_links(cosine, window), schema)
     found = stage(found.union(rest), "links")
 
     degrees = found.groupBy("key").agg(F.sum("n").alias("n"))

@@ -83,7 +83,7 @@ def _hashed(bits: int):
         ids, sets, held = [], [], 0
         for batch in batches:
             for id_, s in zip(batch["id"], shingle_sets(batch["text"])):
-                ids.append(None if pd.isna(id_) else id_)
+                ids.append(id_)
                 sets.append(s)
                 held += len(s)
                 if held >= BATCH or len(sets) >= 50_000:
@@ -93,8 +93,7 @@ def _hashed(bits: int):
             yield frame(batch_rows(ids, sets))
 
     def frame(rows):
-        out = pd.DataFrame(rows, columns=columns)
-        return out.astype({"id": "object"})
+        return pd.DataFrame(rows, columns=columns).astype({"id": "object"})
 
     return run
 
@@ -116,15 +115,14 @@ def _own_tokens(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"batch": rows["batch"], "own": counts})
 
 
-def _survivors(id_type: str):
-    def run(key: tuple, counts: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
-        """For one batch: the ids of the texts that may link."""
-        own = sum((np.frombuffer(c, np.int32) for c in counts["own"]), np.zeros(1, np.int32))
-        mine = own[texts["number"].to_numpy()] if len(own) > 1 or len(counts) else np.zeros(len(texts))
-        keep = (mine <= spare(texts["n"].to_numpy())) & (texts["n"] > 0) & texts["id"].notna()
-        return texts.loc[keep, ["id"]].astype({"id": "int64"} if id_type == "bigint" else "object")
-
-    return run
+def _survivors(key: tuple, counts: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+    """For one batch: the ids of the texts that may link."""
+    own = np.zeros(len(texts), np.int32)
+    for part in counts["own"]:
+        own += np.frombuffer(part, np.int32)
+    mine = own[texts["number"].to_numpy(np.int64)]
+    keep = (mine <= spare(texts["n"].to_numpy(np.int64))) & (texts["n"] > 0) & texts["id"].notna()
+    return texts.loc[keep, ["id"]]
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,15 +137,18 @@ def set_sizes_and_survivors(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     id_type = docs.schema["id"].dataType.simpleString()
     bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(4, int(bytes_ / 12 / BUCKET).bit_length())
-    schema = f"batch string, bucket bigint, number bigint, id {id_type}, n bigint, digest binary, tokens binary, owners binary"
-    hashed = stage(docs.select("id", F.col("text").cast("binary").alias("text")).mapInPandas(_hashed(bits), schema), "sets")
+    # Ids travel as text: pandas has no whole numbers beside nulls.
+    schema = "batch string, bucket bigint, number bigint, id string, n bigint, digest binary, tokens binary, owners binary"
+    given = docs.select(F.col("id").cast("string").alias("id"), F.col("text").cast("binary").alias("text"))
+    hashed = stage(given.mapInPandas(_hashed(bits), schema), "sets")
     texts = stage(hashed.filter("bucket = -1").select("batch", "number", "id", "n", "digest"), "set-sizes")
     buckets = hashed.filter("bucket >= 0").select("batch", "bucket", "number", "tokens", "owners")
     own = buckets.groupBy("bucket").applyInPandas(_own_tokens, "batch string, own binary")
     alive = own.groupBy("batch").cogroup(texts.select("batch", "number", "id", "n").groupBy("batch"))
-    survivors = stage(alive.applyInPandas(_survivors(id_type), f"id {id_type}"), "survivors")
+    survivors = stage(alive.applyInPandas(_survivors, "id string"), "survivors")
     unstage(hashed)
-    return texts.select("id", "n", "digest"), survivors
+    id_ = F.col("id").cast(id_type).alias("id")
+    return texts.select(id_, "n", "digest"), survivors.select(id_)
 
 
 def frequent_tokens(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -256,7 +257,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # Copies hang on their class; a node of two rows may belong to two classes.
     label = stage(components(links), "labels")
     named = sizes.join(classes, "digest", "left").withColumn("head", F.coalesce("first", "id"))
-    named = _labelled(named.withColumn("head", F.when(F.col("n") > 0, F.col("head")).otherwise(F.col("id"))), label, "head")
+    alone = (F.col("n") == 0) | F.col("id").isNull()
+    named = _labelled(named.withColumn("head", F.when(alone, F.col("id")).otherwise(F.col("head"))), label, "head")
     return named.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("label_head").alias("component_id")
     )

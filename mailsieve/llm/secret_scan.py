@@ -114,11 +114,11 @@ FOUND = "array<struct<kind:string,start:bigint,end:bigint,hash:string>>"
 def scan(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col: str) -> DataFrame:
     """Candidates per row; staged, as both the counts and the result read them."""
     rows = docs.select(
-        F.col(id_col).alias("id"), F.col(text_col).alias("text"),
+        F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"),
         F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"),
     )
-    id_type = rows.schema["id"].dataType.simpleString()
-    schema = f"id {id_type}, repo string, owner string, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, found {FOUND}"
+    # Ids travel as text: pandas has no whole numbers beside nulls.
+    schema = f"id string, repo string, owner string, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, found {FOUND}"
     return stage(rows.mapInPandas(_scan, schema).withColumn("row", F.expr("uuid()")), "secrets")
 
 
@@ -159,7 +159,7 @@ def secret_scan(
     )
     zero = F.lit(0).cast("bigint")
     return scanned.drop("found", "repo", "owner").join(per_row, "row", "left").select(
-        F.col("id").alias(id_col), "n_assign", "n_access", "n_hex", "base_sha256",
+        F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_assign", "n_access", "n_hex", "base_sha256",
         F.coalesce("spans", F.lit("")).alias("spans"),
         F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_example", zero).alias("n_example"),
     )

@@ -280,7 +280,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
 
 def _encode_giants(rows: DataFrame, model: str) -> DataFrame:
-    id_type = rows.schema["id"].dataType.simpleString()
+    id_type = rows.schema["id"].dataType
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reach = pieces_of(model).reach
@@ -289,7 +289,7 @@ def _encode_giants(rows: DataFrame, model: str) -> DataFrame:
                 key, digest = uuid.uuid4().hex, _digest(text)
                 out = [(id_, digest, key, *chunk) for chunk in cut_up(text, reach)]
                 frame = pd.DataFrame(out, columns=["id", "digest", "key", "number", "text", "low", "high", "first", "final"])
-                yield frame.astype({"id": batch["id"].dtype})
+                yield frame.astype({"id": "object"})
 
     def transfer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = pieces_of(model)
@@ -329,7 +329,10 @@ def _encode_giants(rows: DataFrame, model: str) -> DataFrame:
             yield pd.Series([_digest(library.decode(list(map(int, i)))) == d for i, d in zip(ids, digests)], dtype=bool)
 
     chunks = stage(
-        rows.mapInPandas(cut, f"id {id_type}, digest binary, {CHUNKS}").repartition(F.col("key"), F.col("number")), "chunks"
+        rows.withColumn("id", F.col("id").cast("string"))
+        .mapInPandas(cut, f"id string, digest binary, {CHUNKS}")
+        .repartition(F.col("key"), F.col("number")),
+        "chunks",
     )
     matrices = chunks.select(*(c for c in chunks.columns if c not in ("id", "digest"))).mapInPandas(
         transfer, f"key string, number bigint, matrix {MATRIX}"
@@ -338,11 +341,11 @@ def _encode_giants(rows: DataFrame, model: str) -> DataFrame:
     traced = chunks.drop("id", "digest").join(ends, ["key", "number"]).mapInPandas(
         trace, "key string, number bigint, ids array<int>"
     )
-    # The chunks of one text only.
+    # An array holds the chunks of one text only.
     whole = traced.groupBy("key").agg(F.flatten(F.sort_array(F.collect_list(F.struct("number", "ids")))["ids"]).alias("token_ids"))
     heads = chunks.filter("number = 0").select("id", "key", "digest")
     checked = F.pandas_udf(check, "boolean")
-    return heads.join(whole, "key").select("id", "token_ids", checked("token_ids", "digest").alias("round_trip"))
+    return heads.join(whole, "key").select(F.col("id").cast(id_type).alias("id"), "token_ids", checked("token_ids", "digest").alias("round_trip"))
 
 
 def decode(encoded: DataFrame, ids_col: str = "token_ids", model: str = MODEL) -> DataFrame:

@@ -1,0 +1,447 @@
+"""The dealt operators against brute force, and what they make of odd tables."""
+
+import hashlib
+import itertools
+import random
+import re
+
+import numpy as np
+import pytest
+from compare import compare, connect
+from pyspark.sql import functions as F
+
+from mailsieve.llm import (
+    embedding_dedup, exact_dedup, language_id, licenses, line_dedup, mixing, ngram_join, secret_scan,
+    sentencepiece_codec, token_counts,
+)
+from mailsieve.llm.components import components
+from mailsieve.llm.queries import ORACLE, QUERIES
+
+FOLDER = "/root/testdata/sf0.001"
+SCHEMA = "doc_id bigint, text string, lang string, source string"
+# Columns of any input that have names the operators use inside.
+CLASHES = "id row hash size body key number batch token n tree kind count label component source_size found sign".split()
+LONG = " ".join(f"word{k} und so weiter" for k in range(9_000))
+TEXT = "the quick brown fox jumps over the lazy dog and runs far away from here"
+ODD = [
+    (1, None, None, None), (2, "", "en", "b"), (3, TEXT, "en", "a"), (3, TEXT, "en", "a"), (4, TEXT.upper(), "en", None),
+    (None, TEXT, "en", "a"), (5, LONG, "de", "b"), (6, LONG + " ende", "de", "b"), (7, "  \n\n\t ", None, "a"),
+    (8, "A\nB\nÄ é\nB", "fr", "c"), (9, "x" * 40_000, "en", "c"), (None, None, None, None), (2**60 + 1, TEXT + " now", "en", "a"),
+    (11, "12 34 §", None, "b"),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """A table of odd rows with columns of clashing names."""
+    table = spark.createDataFrame(ODD, SCHEMA)
+    return table.select("*", *(F.lit(f"own {c}").alias(c) for c in CLASHES)).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def random_docs(spark, seed, n=60):
+    """Short texts with copies, near copies and shared passages."""
+    random.seed(seed)
+    words = [f"w{k}" for k in range(400)]
+    texts = []
+    for k in range(n):
+        kind = k % 4
+        if kind == 0 or not texts:
+            text = random.choices(words, k=random.randint(0, 60))
+        elif kind == 1:
+            text = random.choice(texts).copy()
+        elif kind == 2:
+            text = random.choice(texts).copy()
+            for _ in range(random.randint(1, 3)):
+                text.insert(random.randint(0, len(text)), random.choice(words))
+        else:
+            text = texts[0] + random.choices(words, k=random.randint(1, 30))
+        texts.append(text)
+    return spark.createDataFrame([(k, " ".join(t), "en", f"s{k % 3}") for k, t in enumerate(texts)], SCHEMA)
+
+
+def lower(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_sql_twins(spark, name):
+    assert compare(QUERIES[name](spark, FOLDER), connect(FOLDER), ORACLE[name]) is None
+
+
+# 1 exact dedup
+
+
+@pytest.mark.parametrize("hash_of", [exact_dedup.content_hash, lambda t: F.substring(t, 1, 1)])
+def test_exact_dedup(odd, hash_of):
+    """Also where the hash is so weak that most texts share it."""
+    got = sorted(map(str, (tuple(r) for r in exact_dedup.exact_dedup(odd, hash_of=hash_of).collect())))
+    want = []
+    for id_, text, *_ in ODD:
+        same = [i for i, t, *_ in ODD if lower(t) == lower(text)]
+        keep = max((i for i in same if i is not None), default=None)
+        want.append((id_, keep, len(same), id_ == keep, hashlib.sha256(lower(text).encode()).hexdigest()))
+    assert got == sorted(map(str, want))
+
+
+def test_exact_dedup_lowers_ascii_only(spark):
+    df = spark.createDataFrame([(1, "ÄA", "x", "y"), (2, "äa", "x", "y"), (3, "Äa", "x", "y")], SCHEMA)
+    assert {r.doc_id: r.keep_id for r in exact_dedup.exact_dedup(df).collect()} == {1: 3, 2: 2, 3: 3}
+
+
+# 2 line dedup
+
+
+def brute_lines(rows, sign):
+    seen, out = set(), {}
+    for id_, text in sorted(rows, key=lambda r: (r[0], sign[r])):
+        kept, gone = [], 0
+        for _, n, part in line_dedup.chunks(text):
+            if n >= line_dedup.MIN_LINES and not part.isspace() and part in seen:
+                gone += 1
+                continue
+            if n >= line_dedup.MIN_LINES:
+                seen.add(part)
+            kept.append(part)
+        out[id_] = ("\n".join(kept), gone)
+    return out
+
+
+def test_line_dedup(spark):
+    random.seed(5)
+    lines = [f"line {k} of all" for k in range(40)] + [""]
+    passage = "\n".join(lines[:9])
+    rows = []
+    for k in range(80):
+        text = "\n".join(random.choices(lines, k=random.randint(1, 12)))
+        rows.append((k, f"{text}\n{passage}\n{k}" if k % 3 == 0 else text))
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], SCHEMA)
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.line_dedup(df).collect()}
+    want = brute_lines(rows, {r: 0 for r in rows})
+    assert got == want and sum(v[1] for v in want.values()) > 20
+
+
+def test_line_chunks_resist_shifts():
+    lines = [f"line {k}" for k in range(200)]
+    one = {p for _, _, p in line_dedup.chunks("\n".join(lines))}
+    two = {p for _, _, p in line_dedup.chunks("\n".join(["new", *lines[:90], "new too", *lines[90:]]))}
+    assert len(one - two) <= 3
+    assert "\n".join(p for _, _, p in line_dedup.chunks("a\n\nb\n")) == "a\n\nb\n"
+
+
+def test_line_dedup_odd(odd, empty):
+    out = line_dedup.line_dedup(odd)
+    assert out.columns == [*odd.columns, "n_removed"] and out.count() == len(ODD)
+    assert {r.id for r in out.collect()} == {"own id"}
+    texts = {r.doc_id: r.text for r in out.collect()}
+    assert texts[1] is None and texts[5] == LONG and texts[2] == ""
+    assert line_dedup.line_dedup(empty).count() == 0
+
+
+# 3 token counts
+
+
+@pytest.mark.parametrize("leaf", [1, 7, 40])
+def test_edits_against_full_counts(monkeypatch, leaf):
+    monkeypatch.setattr(token_counts, "LEAF", leaf)
+    encode = token_counts.encoding(token_counts.VOCABULARY).encode_ordinary
+    random.seed(leaf)
+    for _ in range(400):
+        letters = random.choice(["ab '", "a  \n", "'revl ", "aé1 .\n"])
+        text = "".join(random.choices(letters, k=random.randint(0, 60)))
+        leaves = token_counts.leaves_of(text)
+        tree = token_counts.Tree(leaves, [len(encode(x)) for x in leaves], encode)
+        for _ in range(4):
+            a = random.randint(0, len(text) + 2)
+            b, insert = a + random.randint(0, 6), "".join(random.choices(letters, k=random.randint(0, 5)))
+            text = text[:a] + insert + text[b:]
+            tree.edit(a, b, insert)
+            assert "".join(tree.leaves) == text and tree.tokens[1] == len(encode(text))
+
+
+def test_token_counts(odd, empty):
+    encode = token_counts.encoding(token_counts.VOCABULARY).encode_ordinary
+    edits = F.expr("if(doc_id = 8, null, array(struct(2 as start, 4 as end, ' new' as insert), struct(null as start, null as end, null as insert)))")
+    out = token_counts.apply_edits(token_counts.with_trees(odd).withColumn("edits", edits))
+    for r in out.select("doc_id", "text", "edited", token_counts.n_tokens(F.col("tree")).alias("before")).collect():
+        text = r.text or ""
+        new = text if r.doc_id == 8 else text[:2] + " new" + text[4:]
+        assert (r.before, r.edited.n_tokens, r.edited.text) == (len(encode(text)), len(encode(new)), new)
+        if len(text) > 100_000:
+            assert r.edited.recounted_chars < 3_000
+    assert token_counts.with_trees(empty).count() == 0
+
+
+# 4 embedding near-dedup
+
+
+def brute_vectors(rows):
+    def valid(v):
+        return v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)
+
+    links = {k: set() for k in range(len(rows))}
+    for (j, (a, v, s)), (k, (b, w, t)) in itertools.combinations(enumerate(rows), 2):
+        if None not in (a, b, s) and s == t and valid(v) and valid(w) and len(v) == len(w):
+            v, w = np.array(v, float), np.array(w, float)
+            if v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= embedding_dedup.COSINE:
+                links[j].add(k), links[k].add(j)
+    out = []
+    for k, row in enumerate(rows):
+        seen, todo = {k}, [k]
+        while todo:
+            for m in links[todo.pop()] - seen:
+                seen.add(m), todo.append(m)
+        ids = [rows[m][0] for m in seen if rows[m][0] is not None]
+        component = min(ids) if ids else None
+        out.append((row[0], len(links[k]), component, row[0] == component))
+    return sorted(map(str, out))
+
+
+def test_embedding_dedup(spark):
+    random.seed(2)
+    centres = np.random.default_rng(0).standard_normal((12, 8))
+    rows = []
+    for k in range(150):
+        v = centres[k % 12] + 0.25 * np.random.default_rng(k).standard_normal(8)
+        rows.append((k, [float(x) for x in v], k % 3))
+    rows += [(200, None, 1), (201, [0.0] * 8, 1), (202, [float("nan")] * 8, 1), (203, [1.0, None], 1), (204, [1.0, 2.0], None)]
+    rows += [(205, [1.0, 2.0], 1), (205, [1.0, 2.0], 1), (None, [1.0, 2.0], 1), (206, [2.0, 4.1], 1), (207, [], 1), (208, [float("inf")], 1)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").withColumn("key", F.lit("x")).withColumn("block", F.lit(1))
+    got = sorted(str(tuple(r)) for r in embedding_dedup.embedding_dedup(df, window=4, block=16).collect())
+    assert got == brute_vectors(rows)
+    assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
+
+
+# 5 mixing
+
+
+def test_mixing(odd, empty, spark):
+    out = mixing.apply_mix(odd).collect()
+    assert len(out) == len(ODD) and all(r.taken <= 3 * r["size"] for r in out)
+    words = [(i, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, t, *_ in ODD]
+    assert sorted(map(str, words)) == sorted(str((r.doc_id, r["size"])) for r in out)
+    assert mixing.apply_mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
+    rows = mixing.mixed(odd)
+    assert rows.columns == odd.columns
+    taken = {}
+    for r in rows.collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+    want = {}
+    for r in out:
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.taken
+    assert all(taken.get(i, 0) == n for i, n in want.items())
+
+
+def test_mixing_targets(spark):
+    """Capped targets by the rule, step by step."""
+    for sizes in ([100, 100, 100], [1, 100, 100, 100], [1, 2, 1000, 5, 3], [0, 0, 7], [0], [5]):
+        totals = spark.createDataFrame([(f"s{k}", s) for k, s in enumerate(sizes)], "source string, source_size bigint")
+        weight = [k % 3 + 1 for k in range(len(sizes))]
+        want, free, left = [0.0] * len(sizes), set(range(len(sizes))), float(sum(sizes))
+        while free:
+            share = {k: left * weight[k] / sum(weight[j] for j in free) for k in free}
+            over = {k for k in free if share[k] > 3 * sizes[k]}
+            for k in over or free:
+                want[k] = 3.0 * sizes[k] if over else share[k]
+            left -= sum(3 * sizes[k] for k in over)
+            free = free - over if over else set()
+        got = {r.source: r.target for r in mixing.source_targets(totals).collect()}
+        assert [got[f"s{k}"] for k in range(len(sizes))] == pytest.approx(want)
+
+
+# 6 licence scans
+
+
+def test_known_sentences_hold_markers():
+    for forms in licenses.SENTENCES.values():
+        assert all(any(m in f for m in licenses.MARKERS) for f in forms if f)
+    known = set(licenses.SENTENCES)
+    assert all(set(ids) <= known for _, ids in licenses.RULES)
+
+
+def test_license_scan(spark, odd, empty):
+    grant = licenses.SENTENCES["mit-grant"][0] + ".\n\nThe above copyright notice and this permission notice shall be included in all\tcopies or substantial portions of the Software. And more.\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+    rows = [
+        (1, grant), (2, "a\nLicensed under the Apache License, Version 2.0."), (3, "All rights reserved. Released under the MIT License"),
+        (4, "a licence for the software"), (5, "the software is provided as is. " + licenses.SENTENCES["mit-grant"][0]),
+    ]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], SCHEMA)
+    got = {r.doc_id: r.licenses for r in licenses.license_scan(df).collect()}
+    assert got == {1: ["MIT"], 2: ["Apache-2.0"], 3: ["MIT", "LicenseRef-AllRightsReserved"], 4: [], 5: []}
+    assert licenses.license_scan(odd).count() == len(ODD) and licenses.license_scan(empty).count() == 0
+
+
+# 7 n-gram Jaccard join
+
+
+def brute_join(rows):
+    sets = []
+    for _, text in rows:
+        words = lower(text).encode().split()
+        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
+    parent = list(range(len(rows)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for j, k in itertools.combinations(range(len(rows)), 2):
+        one, two = sets[j], sets[k]
+        same_id = rows[j][0] == rows[k][0]
+        if None in (rows[j][0], rows[k][0]):
+            continue
+        if same_id or (one and two and 100 * len(one & two) >= 75 * len(one | two)):
+            parent[root(j)] = root(k)
+    out = []
+    for k, (id_, _) in enumerate(rows):
+        component = min((rows[m][0] for m in range(len(rows)) if rows[m][0] is not None and root(m) == root(k)), default=None)
+        out.append((id_, len(sets[k]), component))
+    return sorted(map(str, out))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_ngram_join(spark, seed):
+    df = random_docs(spark, seed, 120)
+    got = sorted(str(tuple(r)) for r in ngram_join.ngram_join(df).collect())
+    want = brute_join([(r.doc_id, r.text) for r in df.collect()])
+    assert got == want
+
+
+def test_ngram_join_odd(odd, empty):
+    got = sorted(str(tuple(r)) for r in ngram_join.ngram_join(odd).collect())
+    assert got == brute_join([r[:2] for r in ODD])
+    assert ngram_join.ngram_join(empty).count() == 0
+
+
+def test_components(spark):
+    random.seed(7)
+    edges = [(random.randint(0, 300), random.randint(0, 300)) for _ in range(170)] + [(k, k + 1) for k in range(400, 440)]
+    parent = {k: k for e in edges for k in e}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a, b in edges:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {k: root(k) for a, b in edges if a != b for k in (a, b)}
+
+
+# 8 secret scans
+
+
+def brute_base(text):
+    spans = []
+    for kind, pattern, group, least in (
+        ("assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+        ("access", "AKIA[A-Z0-9]+", 0, 16), ("hex", "[0-9a-f]+", 0, 32),
+    ):
+        spans += [(m.start(), ("assign", "access", "hex").index(kind), f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, text) if len(m[group]) >= least]
+    return ",".join(s for _, _, s in sorted(spans))
+
+
+def test_secret_spans():
+    random.seed(8)
+    bits = ["token", " = ", "Secret", ":", '"', "AKIA", "ABCDEF123456", "0123456789abcdef" * 2, "é😀", " ", "api_key", "APIKEY='", "passwd", "ſecret", "abc12345", "\n"]
+    for _ in range(3_000):
+        text = "".join(random.choices(bits, k=random.randint(0, 14)))
+        assert secret_scan.written(secret_scan.base_spans(text)) == brute_base(text)
+
+
+def test_secret_scan(spark, odd, empty):
+    weak = "Zx81kQp0vLm3Tn6Yw2Rb"
+    rows = [(1, f"see {weak} here", "a"), (2, "token = abcdefgh1", "a"), (3, "token = abcdefgh1", "b"), (4, "x" * 50, "b"), (5, "Ab3dEf6hIj9lMn2pQr5t", "a"), (6, "Ab3dEf6hIj9lMn2pQr5t", "b")]
+    df = spark.createDataFrame([(i, t, "en", s) for i, t, s in rows], SCHEMA)
+    got = {r.doc_id: (r.spans, r.n_live, r.n_example) for r in secret_scan.secret_scan(df).collect()}
+    assert got == {1: ("owned:4:24", 1, 0), 2: ("assign:0:17", 0, 1), 3: ("assign:0:17", 0, 1), 4: ("", 0, 0), 5: ("", 0, 0), 6: ("", 0, 0)}
+    out = secret_scan.secret_scan(odd).collect()
+    assert sorted(str(r.doc_id) for r in out) == sorted(str(r[0]) for r in ODD)
+    assert all(r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in out)
+    assert secret_scan.secret_scan(empty).count() == 0
+
+
+# 9 language ID
+
+
+def test_language_id_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = language_id.language_id(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out")
+    right, n = out.filter("lang = lang_pred").count(), out.count()
+    assert n > 150 and right / n > 0.97
+
+
+def test_language_id_odd(odd, empty):
+    got = {(r.doc_id, r.lang_pred, r.score) for r in language_id.language_id(odd).collect()}
+    unknown = {i for i, lang, _ in got if lang == "und"}
+    assert unknown == {None, 1, 2, 7, 11} or unknown == {1, 2, 7, 11, None}
+    assert all(0 <= score <= 1 for _, _, score in got)
+    assert language_id.language_id(empty).count() == 0
+    kept = language_id.predict(odd, ([], np.zeros((0, language_id.DIMENSIONS))))
+    assert kept.columns == [*odd.columns, "lang_pred", "score"] and {r.lang_pred for r in kept.collect()} == {"und"}
+
+
+def test_pieces_of_a_long_text_add_up(monkeypatch):
+    encoder = language_id.Encoder()
+    whole = language_id.bundles([LONG], encoder)
+    monkeypatch.setattr(language_id, "PIECE", 1_000)
+    assert np.array_equal(language_id.bundles([LONG], encoder), whole)
+
+
+def test_bundles_are_bound_letter_vectors():
+    """The definition, letter by letter."""
+    encoder = language_id.Encoder()
+    symbols = [0, ord("a"), ord("b"), 0, ord("c"), 0]
+    want = sum(
+        np.roll(encoder.letter(symbols[k]), 2) * np.roll(encoder.letter(symbols[k + 1]), 1) * encoder.letter(symbols[k + 2])
+        for k in range(len(symbols) - 2)
+    )
+    assert np.array_equal(language_id.bundles(["Ab, 1 c"], encoder)[0], want)
+
+
+# 10 SentencePiece
+
+
+def scanned(text, pieces):
+    chunks = [sentencepiece_codec.Chunk(pieces, *c[1:]) for c in sentencepiece_codec.cut_up(text, pieces.reach)]
+    ends = sentencepiece_codec.cuts([c.matrix() for c in chunks]) if chunks else []
+    return [i for c, (a, b) in zip(chunks, ends) for i in c.trace(a, b)]
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 17, 50])
+def test_scan_gives_the_library_ids(monkeypatch, chunk):
+    monkeypatch.setattr(sentencepiece_codec, "CHUNK", chunk)
+    pieces = sentencepiece_codec.pieces_of(sentencepiece_codec.MODEL)
+    random.seed(chunk)
+    for kind in range(120):
+        letters = ["thean ", "ab  \n日é\x00😀", "x", "erationsgd", " x"][kind % 5]
+        text = "".join(random.choices(letters, k=random.randint(0, 90)))
+        assert scanned(text, pieces) == pieces.library.encode(text)
+
+
+def test_product_is_associative():
+    random.seed(1)
+    states = [(-k, k) for k in range(1, 4)]
+    a, b, c = ({s: {t: random.random() for t in states if random.random() < 0.7} for s in states} for _ in range(3))
+    times = lambda x, y: sentencepiece_codec.product(x, y)[0]
+    left, right = times(times(a, b), c), times(a, times(b, c))
+    assert {s: pytest.approx(v) for s, v in left.items()} == right
+
+
+def test_sentencepiece(odd, empty):
+    """Giant texts too, with and without spaces."""
+    library = sentencepiece_codec.pieces_of(sentencepiece_codec.MODEL).library
+    out = sentencepiece_codec.encode(odd)
+    texts = sorted(str((i, library.encode(t or ""))) for i, t, *_ in ODD)
+    rows = out.collect()
+    assert sorted(str((r.doc_id, r.token_ids)) for r in rows) == texts and all(r.round_trip for r in rows)
+    back = sentencepiece_codec.decode(out).collect()
+    assert sorted(str((r.doc_id, r.text)) for r in back) == sorted(str((i, t or "")) for i, t, *_ in ODD)
+    assert sentencepiece_codec.encode(empty).count() == 0
