@@ -6,21 +6,25 @@ from pyspark.sql import functions as F
 from mailsieve.llm.common import stage, unstage
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+#: Links of a partition, at least; rounds over few links run few tasks.
+PART_ROWS = 200_000
+
+
+def _star(edges: DataFrame, large: bool, parts: int) -> DataFrame:
     """Link the neighbours of every node to the smallest of them.
 
     The smallest neighbours are staged, so that Spark may split the rows of a
     node with very many neighbours among tasks.
     """
     both = edges.union(edges.select("b", "a")) if large else edges
-    least = stage(both.groupBy("a").agg(F.min("b").alias("low")), "least")
+    least = stage(both.groupBy("a").agg(F.min("b").alias("low")).coalesce(parts), "least")
     low = F.least("a", "low")
     met = both.join(least, "a").select("a", "b", low.alias("low"))
     if large:
         out = met.filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
     else:
         out = met.select(F.explode(F.array("a", "b")).alias("a"), F.col("low").alias("b"))
-    result = stage(out.filter("a > b").distinct(), "edges")
+    result = stage(out.filter("a > b").distinct().coalesce(parts), "edges")
     unstage(least)
     return result
 
@@ -36,12 +40,13 @@ def components(edges: DataFrame) -> DataFrame:
     current = stage(
         valid.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
     )
-    while True:
-        if current.isEmpty():
-            break
-        wide = _star(current, large=True)
-        narrow = _star(wide, large=False)
-        same = _mark(current) == _mark(narrow)
+    before = _mark(current)
+    while before[0]:
+        parts = 4 + 2 * before[0] // PART_ROWS
+        wide = _star(current, True, parts)
+        narrow = _star(wide, False, parts)
+        after = _mark(narrow)
+        same, before = before == after, after
         unstage(current)
         unstage(wide)
         current = narrow

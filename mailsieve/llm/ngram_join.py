@@ -9,6 +9,9 @@ by the number of sets that hold a token, rarest first; they differ in how equall
 frequent tokens are ranked. A pair is verified only if it shares prefix tokens
 under each of them.
 
+The first common token of a pair also says, by its place, how many common ones
+there can be at most; pairs for which these are too few are not made.
+
 1. One scan hashes the texts. Texts of equal sets are one class, of which only
    the smallest id goes on.
 2. Frequencies, at first of the tokens in one half of the hash space and by 32
@@ -184,6 +187,15 @@ def near(n: Column, m: Column) -> Column:
     return F.least(n, m) * PART >= F.greatest(n, m) * SHARE
 
 
+def enough_left(n: Column, i: Column, m: Column, j: Column) -> Column:
+    """Whether sets of n and m tokens may link if their first common token stands
+    at the places i and j (from 0): it and the shorter rest have to be enough.
+
+    A pair that links passes at its first common token, whatever it does at others.
+    """
+    return (PART + SHARE) * (F.least(n - i, m - j)) >= SHARE * (n + m)
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that share prefix tokens under every order, and link."""
     filters = texts.select("id", *(prefix(o).alias(f"p{o}") for o in ORDERS[1:]))
@@ -202,13 +214,15 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def joining_links(texts: DataFrame) -> DataFrame:
     """Links (a, b) that join every two texts that a path of links joins."""
-    rows = stage(texts.select("id", "n", F.explode(prefix(ORDERS[0])).alias("token")), "prefixes")
+    rows = texts.select("id", "n", F.posexplode(prefix(ORDERS[0])).alias("place", "token"), F.size("shared").alias("k"))
+    rows = stage(rows.select("id", "n", (F.col("n") - F.col("k") + F.col("place")).alias("place"), "token"), "prefixes")
     pivots = stage(
-        rows.groupBy("token").agg(F.min_by(F.struct("id", "n"), "id").alias("pivot"), F.count("*").alias("size"))
-        .filter("size > 1").select("token", F.col("pivot.id").alias("a"), F.col("pivot.n").alias("m")),
+        rows.groupBy("token").agg(F.min_by(F.struct("id", "n", "place"), "id").alias("pivot"), F.count("*").alias("size"))
+        .filter("size > 1").select("token", *(F.col(f"pivot.{x}").alias(y) for x, y in (("id", "a"), ("n", "m"), ("place", "at")))),
         "pivots",
     )
-    stars = rows.join(pivots, "token").filter((F.col("a") < F.col("id")) & near(F.col("n"), F.col("m")))
+    fits = near(F.col("n"), F.col("m")) & enough_left(F.col("n"), F.col("place"), F.col("m"), F.col("at"))
+    stars = rows.join(pivots, "token").filter((F.col("a") < F.col("id")) & fits)
     stars = stage(stars.groupBy("a", F.col("id").alias("b")).count(), "stars")
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
     links = stage(verified(best, texts), "links")
@@ -227,9 +241,11 @@ def joining_links(texts: DataFrame) -> DataFrame:
         F.max_by("label_a", F.struct("count", "label_a")).alias("most"), F.count("*").alias("labels")
     )
     mixed = stage(mixed.filter("labels > 1").drop("labels"), "mixed")
-    all_ = held.join(mixed, "token").select("token", "a", "n", "label_a", "most")
-    few = all_.filter("label_a <> most").select("token", F.col("a").alias("b"), F.col("n").alias("m"), F.col("label_a").alias("label_b"))
-    rest = all_.drop("most").join(few, "token").filter("label_a <> label_b").filter(near(F.col("n"), F.col("m")))
+    all_ = held.join(mixed, "token").select("token", "a", "n", "place", "label_a", "most")
+    few = all_.filter("label_a <> most").select(
+        "token", F.col("a").alias("b"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("label_a").alias("label_b")
+    )
+    rest = all_.drop("most").join(few, "token").filter(F.col("label_a") != F.col("label_b")).filter(fits)
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = rest.join(stars.select("a", "b"), ["a", "b"], "left_anti")
     return links.union(stage(verified(rest, texts), "links"))
