@@ -35,7 +35,8 @@ def html_to_text(c: Column) -> Column:
     c = or_empty(c)
     c = F.regexp_replace(c, r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)", "")
     c = up_to_last(c, "-->", lambda t: F.regexp_replace(t, r"(?s)<!--.*?-->", ""))
-    c = F.regexp_replace(c, r"(?is)<head\b.*?</head\s*>", "")
+    c = F.regexp_replace(c, r"(?i)</head\s*>", "</head>")
+    c = up_to_last(c, "</head>", lambda t: F.regexp_replace(t, r"(?is)<head\b.*?</head>", ""))
     c = F.regexp_replace(c, r"[ \t\r\n\f]+", " ")
     c = up_to_last(c, ">", _replace_tags)
     c = F.replace(unescape(c), F.lit("\u00a0"), F.lit(" "))

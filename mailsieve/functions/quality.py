@@ -29,8 +29,15 @@ def spam_pattern(subject: Column, body: Column) -> Column:
     """First bulk-mail pattern found, or null."""
 
     def first_found(text: Column) -> Column:
-        start = SPAM_PATTERNS[0].split(".")[0]
-        within_line = F.contains(text, F.lit(start)) & text.rlike(f"(?d){SPAM_PATTERNS[0]}")
+        start, end = SPAM_PATTERNS[0].split(".*")
+
+        def in_line(line: Column) -> Column:
+            # Behind the first start of a line lies all that is behind any other.
+            rest = F.substring(line, F.locate(start, line) + len(start), F.length(line))
+            return F.contains(line, F.lit(start)) & F.contains(rest, F.lit(end))
+
+        both = F.contains(text, F.lit(start)) & F.contains(text, F.lit(end))
+        within_line = both & F.exists(F.split(text, "\n", -1), in_line)
         found = F.when(within_line, SPAM_PATTERNS[0])
         for phrase in SPAM_PATTERNS[1:]:
             found = found.when(F.contains(text, F.lit(phrase)), phrase)

@@ -57,7 +57,8 @@ def join_attribution(c: Column) -> Column:
 def _visible_kinds(lines: Column) -> Column:
     """Kind letters of the lines kept, with ``Q`` for lines of quoted blocks."""
     kinds = F.array_join(F.transform(lines, line_kind), "")
-    kinds = F.regexp_replace(kinds, r"q|[bo](?=[bo]*q)", "Q")
+    # From the end: a quoted line, and the blank and attribution lines that follow on it.
+    kinds = F.reverse(F.regexp_replace(F.reverse(kinds), r"q|\G(?!\A)[bo]", "Q"))
     kinds = F.regexp_replace(kinds, r"[ho].*", "")
     return F.regexp_replace(
         kinds,

@@ -27,10 +27,12 @@ from mailsieve.session import work_folder
 MAX_CELLS = 4096
 BLOCK_VECTORS = 4096
 BLOCK_QUERIES = 1024
-# Queries are sent to every task only up to this size.
-SMALL_QUERIES_BYTES = 32 << 20
-# Rounding slack of a distance from a matrix product.
-_SLACK = 1e-9
+# Queries sent to every task are at most this large.
+MAX_SENT_BYTES = 32 << 20
+# Rounding slack of a squared distance from a matrix product, by the squared lengths it is a
+# difference of; and of a distance, by the lengths.
+_SLACK = 1e-11
+_ROOT_SLACK = 1e-5
 
 _HIT_SCHEMA = "query_id string, uid string, distance double"
 _ARROW_HITS = pa.schema([("query_id", pa.string()), ("uid", pa.string()), ("distance", pa.float64())])
@@ -68,15 +70,10 @@ def sampled_cells(vectors: DataFrame, n: int) -> Cells:
     return Cells(np.array([r["embedding"] for r in rows], dtype=np.float64))
 
 
-def kmeans_cells(vectors: DataFrame, n: int, per_cell: int = 256, seed: int = 7) -> Cells:
-    """Centres by k-means. Training on some vectors per cell is enough for a
-    division of space; every vector is assigned to a cell afterwards."""
+def kmeans_cells(vectors: DataFrame, n: int, seed: int = 7) -> Cells:
+    """Centres by k-means over all vectors."""
     _check_cell_number(n)
-    total = max(vectors.count(), 1)
-    fraction = min(1.0, n * per_cell / total)
-    training = vectors.select(array_to_vector("embedding").alias("features"))
-    if fraction < 1.0:
-        training = training.sample(fraction, seed)
+    training = vectors.where(F.col("embedding").isNotNull()).select(array_to_vector("embedding").alias("features"))
     model = KMeans(k=n, seed=seed, maxIter=10).fit(training)
     return Cells(np.array(model.clusterCenters(), dtype=np.float64))
 
@@ -130,7 +127,8 @@ def build_index(vectors: DataFrame, cells: Cells, k: int) -> DataFrame:
     """
     spark = vectors.sparkSession
     path = work_folder(spark, "index")
-    assign(without_surplus_copies(vectors.select("uid", "embedding"), k), cells).write.parquet(path)
+    pruned = assign(without_surplus_copies(vectors.select("uid", "embedding"), k), cells)
+    pruned.withColumn("built_for", F.lit(k)).write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -153,6 +151,7 @@ def summarize(index: DataFrame, cells: Cells, k: int) -> CellSummary:
 def _visited(points: np.ndarray, cells: Cells, summary: CellSummary, k: int, nprobe: int | None) -> np.ndarray:
     """Boolean matrix: which query visits which cell."""
     gaps = np.sqrt(_squared_gaps(points, cells.centres))
+    lengths = np.linalg.norm(points, axis=1) + np.linalg.norm(cells.centres, axis=1).max(initial=0)
     if nprobe is not None:
         order = np.argsort(gaps, axis=1, kind="stable")[:, :nprobe]
         visited = np.zeros(gaps.shape, dtype=bool)
@@ -162,7 +161,7 @@ def _visited(points: np.ndarray, cells: Cells, summary: CellSummary, k: int, npr
     for i, gap in enumerate(gaps):
         # k vectors are certainly within this radius of the query.
         reach = (gap[:, None] + summary.closest).ravel()
-        radius = np.partition(reach, k - 1)[k - 1] + 1e-6
+        radius = np.partition(reach, k - 1)[k - 1] + _ROOT_SLACK * lengths[i]
         visited[i] = (gap - summary.farthest <= radius) & (summary.nearest - gap <= radius)
     return visited & (summary.size > 0)
 
@@ -193,7 +192,8 @@ def _nearest_in_block(
     rough = _squared_gaps(queries, vectors)
     if len(vectors) > k:
         bound = np.partition(rough, k - 1, axis=1)[:, k - 1]
-        rough_hits = rough <= (bound + _SLACK * (1 + bound))[:, None]
+        scale = (queries**2).sum(1) + (vectors**2).sum(1).max()
+        rough_hits = rough <= (bound + _SLACK * scale)[:, None]
     else:
         rough_hits = np.ones(rough.shape, dtype=bool)
     q, v = np.nonzero(rough_hits)
@@ -275,7 +275,13 @@ def _merge(partial: DataFrame, k: int) -> DataFrame:
 
 
 def broadcast_join(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Exact search for few queries: one pass over the vectors, no shuffle of them."""
+    """Exact search for few queries: one pass over the vectors, no shuffle of them.
+
+    The size of the queries is measured; more than ``MAX_SENT_BYTES`` is an error.
+    """
+    size = queries.agg(F.sum(F.size("embedding").cast("bigint") * 8 + F.length("query_id")).alias("b")).first()["b"]
+    if (size or 0) > MAX_SENT_BYTES:
+        raise ValueError("these queries are too large to be sent to every task; use the method 'cells'")
     rows = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding").collect()
     points = np.array([r["embedding"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
     scan = _scan_with([r["query_id"] for r in rows], points, k)
@@ -299,10 +305,15 @@ def cell_join(
 ) -> DataFrame:
     """Search by cells: exact, or approximate with ``nprobe`` cells per query.
 
-    ``pruned`` says that the index was built without surplus copies for this k.
-    Figures per cell are collected when the plan is made.
+    ``pruned`` says that the index was built without surplus copies, for this k or a
+    larger one; the index knows for which. Figures per cell are collected when the
+    plan is made.
     """
-    if not pruned:
+    if pruned:
+        built_for = index.agg(F.min("built_for")).first()[0]
+        if built_for is not None and built_for < k:
+            raise ValueError(f"the index was built for {built_for} neighbours, not for {k}")
+    else:
         index = without_surplus_copies(index, k)
     summary = summarize(index, cells, k)
     routed = route(queries, cells, summary, k, nprobe)
@@ -332,12 +343,17 @@ def knn_join(
     vectors: DataFrame,
     k: int = 5,
     n_cells: int = 256,
-    small_bytes: int = SMALL_QUERIES_BYTES,
+    method: str = "sent",
 ) -> DataFrame:
-    """Exact k nearest vectors of every query; the way depends on their size."""
-    size = queries.agg(F.sum(F.size("embedding").cast("bigint") * 8 + F.length("query_id")).alias("b")).first()["b"]
-    if (size or 0) <= small_bytes:
+    """Exact k nearest vectors of every query.
+
+    ``sent`` sends the queries to every task, and refuses tables that are too large
+    for that; ``cells`` divides queries and vectors into cells.
+    """
+    if method == "sent":
         return broadcast_join(queries, vectors, k)
+    if method != "cells":
+        raise ValueError(f"unknown method: {method}")
     cells = kmeans_cells(vectors, n_cells)
     return cell_join(queries, build_index(vectors, cells, k), cells, k, pruned=True)
 

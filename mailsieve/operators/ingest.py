@@ -14,9 +14,10 @@ UNREADABLE = "unreadable"
 def ingest(raw: DataFrame) -> DataFrame:
     """Parse, clean and check every message; nothing is dropped here.
 
-    ``reject_reason`` is null for the messages to keep. No shuffle: each
-    message is read and decided on in place.
+    ``reject_reason`` is null for the messages to keep; a column ``seq`` is passed
+    by. No shuffle: each message is read and decided on in place.
     """
+    order = [c for c in raw.columns if c == "seq"]
     subject = text.clean_subject(headers.header(F.col("headers"), "Subject"))
     chosen = (
         parse_messages(raw)
@@ -31,6 +32,7 @@ def ingest(raw: DataFrame) -> DataFrame:
         .select(
             "uid",
             "uidvalidity",
+            *order,
             "headers",
             "_unreadable",
             F.when(F.col("_unreadable"), "").otherwise(subject).alias("subject"),
@@ -54,11 +56,12 @@ def ingest(raw: DataFrame) -> DataFrame:
         "body",
         text.search_text(F.col("subject"), F.col("body")).alias("search_content"),
         "reject_reason",
+        *order,
     )
 
 
 def accepted(ingested: DataFrame) -> DataFrame:
-    """The valid messages, in the layout of the emails table."""
+    """The valid messages, in the layout of the emails table (and ``seq``, if it is there)."""
     return ingested.where(F.col("reject_reason").isNull()).drop("reject_reason")
 
 

@@ -123,7 +123,7 @@ def _old_state(spark, folder, epoch: str):
 
 
 def _synced(spark, folder, epoch):
-    raw = views.raw_mail_view(spark, folder)
+    raw = views.raw_mail_view(spark, folder).withColumn("seq", F.col("uid").cast("bigint"))
     old, target = _old_state(spark, folder, epoch), work_folder(spark, "state")
     return run_sync(spark, raw, old, target, FETCHED_AT, vectors.hashing_embedder(DIM))
 
@@ -144,6 +144,28 @@ def s7_sync_new_epoch(spark, folder):
     return _state_rows(_synced(spark, folder, "7"))
 
 
+@query
+def s7_sync_duplicates(spark, folder):
+    """A load of two epochs that has an earlier version of some messages too.
+
+    Stored are the last versions of the newer epoch, with vectors of these.
+    """
+    mail = _mail(spark, folder).withColumn("uidvalidity", 6 + F.col("uid").cast("bigint") % 2)
+    earlier = mail.where(F.col("uid").cast("bigint") % 4 < 2).withColumn(
+        "body", F.concat(F.lit("zzzz an earlier version of\n"), "body")
+    )
+    raw = views.raw_of(mail).withColumn("seq", F.lit(2)).unionByName(
+        views.raw_of(earlier).withColumn("seq", F.lit(1))
+    )
+    old, embedder = _old_state(spark, folder, "7"), vectors.hashing_embedder(DIM)
+    old = State(old.emails, old.vectors.where("false"), old.kv)
+    new = run_sync(spark, raw, old, work_folder(spark, "state"), FETCHED_AT, embedder)
+    own = new.emails.withColumn("own", embedder(F.col("body")))
+    return own.join(new.vectors, "uid", "left").select(
+        "uid", "uidvalidity", "subject", "body", (F.col("own") == F.col("embedding")).alias("own_vector")
+    )
+
+
 @query
 def s7_sync_entries(spark, folder):
     return _synced(spark, folder, "7").kv
@@ -282,12 +304,10 @@ def t6_unescape(spark, folder):
 
 @query
 def t7_search_text(spark, folder):
-    masked = text.mask_emails(text.mask_urls(F.col("body")))
-    bodies = _raw_bodies(spark, folder).select("uid", masked.alias("body"))
-    subjects = _mail(spark, folder).select("uid", "subject")
-    return bodies.join(subjects, "uid").select(
-        "uid", text.search_text(F.col("subject"), F.col("body")).alias("search_content")
-    )
+    mail = _mail(spark, folder)
+    raw = views.raw_of(mail, keep=("subject",)).withColumn("block", headers.header_block(F.col("raw")))
+    body = text.mask_emails(text.mask_urls(headers.message_body(F.col("raw"), F.col("block"))))
+    return raw.select("uid", text.search_text(F.col("subject"), body).alias("search_content"))
 
 
 @query
@@ -490,23 +510,36 @@ def m1_upsert_mail(spark, folder):
         F.col("doc_id").cast("string").alias("uid"),
         F.concat(F.lit("Modified "), F.col("quality").cast("string")).alias("subject"),
         F.lit("modified@example.com").alias("sender"),
+        F.lit(None).cast("timestamp_ntz").alias("date"),
+        F.concat(F.lit("modified body "), F.col("toxic").cast("string")).alias("body"),
+        F.lit(2).cast("bigint").alias("uidvalidity"),
         F.col("quality").cast("bigint").alias("seq"),
     )
     added = pages.select(
         F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("uid"),
         F.col("url").alias("subject"),
         F.lit("page@example.com").alias("sender"),
+        F.lit(None).cast("timestamp_ntz").alias("date"),
+        F.col("html").alias("body"),
+        F.lit(2).cast("bigint").alias("uidvalidity"),
         F.lit(0).cast("bigint").alias("seq"),
     )
     older = changed.withColumns({"subject": F.lit("superseded"), "seq": F.lit(-1).cast("bigint")})
     changes = changed.unionByName(added).unionByName(older)
-    base = _mail(spark, folder).select("uid", "subject", "sender")
+    base = _mail(spark, folder)
     return store.upsert(base, changes, "uid", ["seq"])
 
 
 @query
 def m2_clear(spark, folder):
-    return store.cleared(_mail(spark, folder)).agg(F.count(F.lit(1)).alias("emails"))
+    """A stored table is cleared and then loaded again."""
+    before, after = work_folder(spark, "emails"), work_folder(spark, "emails")
+    _mail(spark, folder).select("uid", "subject", "body").write.parquet(before)
+    store.cleared(spark.read.parquet(before)).write.parquet(after)
+    stored = spark.read.parquet(after)
+    loaded = store.upsert(stored, spark.read.parquet(before), "uid", [])
+    count = lambda df, name: df.agg(F.lit(name).alias("state"), F.count(F.lit(1)).alias("emails"))
+    return count(stored, "cleared").unionByName(count(loaded, "loaded"))
 
 
 @query
@@ -629,7 +662,7 @@ def v7_search_many(spark, folder):
     found = searches.search_many(
         _mail(spark, folder), views.vectors_view(spark, folder), _queries(spark, folder), date_after=DATE_AFTER
     )
-    return _rounded(found).drop("full_body")
+    return _rounded(found)
 
 
 @query

@@ -12,7 +12,7 @@ VECTOR = "[" + ", ".join(map(repr, c.QUERY_VECTOR)) + "]::DOUBLE[]"
 
 MAIL = """mail AS (
   SELECT cast(doc_id AS varchar) uid, cast(1 AS bigint) uidvalidity,
-         substring(split_part(text, chr(10), 1), 1, 60) subject,
+         split_part(text, chr(10), 1) subject,
          source || '@' || lang || '.example.com' sender,
          timestamp '2024-01-01' + to_seconds((doc_id * 7919) % 31536000) date,
          text body
@@ -193,6 +193,12 @@ vectors AS (SELECT cast(vec_id AS varchar) uid, len(embedding) width FROM embedd
 ORACLE["s7_sync_new_epoch"] = over(
     SYNCED.rstrip(","), f"SELECT uid, subject, sender, body, {c.DIM} width FROM accepted"
 )
+ORACLE["s7_sync_duplicates"] = over(
+    SYNCED + """
+odd AS (SELECT uid, subject, body FROM accepted WHERE cast(uid AS bigint) % 2 = 1)""",
+    """SELECT uid, cast(7 AS bigint) uidvalidity, subject, body, true own_vector FROM odd
+    UNION ALL SELECT uid, 1, subject, body, NULL FROM old WHERE uid NOT IN (SELECT uid FROM odd)""",
+)
 ORACLE["s7_sync_entries"] = over(
     SYNCED.rstrip(","),
     f"""SELECT 'uidvalidity' "key", cast(max(uidvalidity) AS varchar) "value" FROM raw
@@ -433,11 +439,13 @@ ORACLE["o2_list_limit"] = over(
 ORACLE["m1_upsert"] = "SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
 ORACLE["m1_upsert_mail"] = over(
     MAIL,
-    """SELECT uid, subject, sender FROM mail WHERE uid NOT IN (SELECT cast(doc_id AS varchar) FROM labels)
-    UNION ALL SELECT cast(doc_id AS varchar), 'Modified ' || quality, 'modified@example.com' FROM labels
-    UNION ALL SELECT 'p' || page_id, url, 'page@example.com' FROM pages""",
+    """SELECT * FROM mail WHERE uid NOT IN (SELECT cast(doc_id AS varchar) FROM labels)
+    UNION ALL SELECT cast(doc_id AS varchar), 2, 'Modified ' || quality, 'modified@example.com', NULL,
+      'modified body ' || toxic FROM labels
+    UNION ALL SELECT 'p' || page_id, 2, url, 'page@example.com', NULL, html FROM pages""",
 )
-ORACLE["m2_clear"] = "SELECT cast(0 AS bigint) emails"
+ORACLE["m2_clear"] = """
+SELECT 'cleared' state, cast(0 AS bigint) emails UNION ALL SELECT 'loaded', count(*) FROM documents"""
 ORACLE["m3_kv_upsert"] = over(
     KV,
     f"""SELECT "key", CASE "key" WHEN 'last_fetch' THEN '{c.FETCHED_AT}' ELSE "value" END "value" FROM kv""",
@@ -512,8 +520,8 @@ ORACLE["v7_knn_join"] = over(f"{VECS}, {RANKED}", f"SELECT {JOINED} FROM best")
 ORACLE["v7_knn_join_cells"] = ORACLE["v7_knn_join"]
 ORACLE["v7_search_many"] = over(
     f"{MAIL}, {VECS}, {RANKED}",
-    f"""SELECT {JOINED}, subject, sender, date, {preview('body')} body_preview FROM best JOIN mail USING (uid)
-    WHERE date >= timestamp '{c.DATE_AFTER}'""",
+    f"""SELECT {JOINED}, subject, sender, date, {preview('body')} body_preview, coalesce(body, '') full_body
+    FROM best JOIN mail USING (uid) WHERE date >= timestamp '{c.DATE_AFTER}'""",
 )
 ORACLE["v8_ann_cells"] = over(
     VECS,

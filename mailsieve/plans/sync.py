@@ -6,10 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailsieve.operators.ingest import accepted, ingest
-from mailsieve.operators.store import EPOCH_KEY, LAST_FETCH_KEY, epoch_changed, kv_set, upsert
+from mailsieve.operators.store import EPOCH_KEY, LAST_FETCH_KEY, epoch_changed, kv_set, latest, upsert
 from mailsieve.operators.vectors import Embedder, embed_new, hashing_embedder
-from mailsieve.session import work_folder
-from mailsieve.sources.tables import read_emails, read_kv, read_vectors, write_emails, write_kv, write_vectors
+from mailsieve.schema import LOAD_SCHEMA
+from mailsieve.session import remove, work_folder
+from mailsieve.sources.tables import (
+    read_emails,
+    read_kv,
+    read_table,
+    read_vectors,
+    write_emails,
+    write_kv,
+    write_vectors,
+)
 
 
 @dataclass(frozen=True)
@@ -22,33 +31,44 @@ class State:
 def apply(raw: DataFrame, valid: DataFrame, state: State, now: str, embedder: Embedder) -> State:
     """New state from raw mail and the accepted part of it; all lazy.
 
-    A changed epoch drops the old mail and vectors. Without a valid message
-    the fetch time stays as it was.
+    Of a load only the newest epoch counts, and of several messages with one uid
+    the one of the largest ``seq``; that one is stored and embedded. A changed epoch
+    drops the old mail and vectors. Without a valid message the fetch time stays as
+    it was.
     """
     epoch = epoch_changed(state.kv, raw)
     stale = epoch.select("changed").scalar()
-    emails = upsert(state.emails.where(~stale), valid, "uid", [])
+    loaded = epoch.select("current").scalar()
+    newest = latest(valid.where(loaded.isNull() | (F.col("uidvalidity") == loaded)), "uid", ["seq"]).drop("seq")
+    emails = upsert(state.emails.where(~stale), newest, "uid", [])
     kept = state.vectors.where(~stale).select("uid", "embedding")
-    vectors = kept.unionByName(embed_new(valid, kept, embedder))
+    vectors = kept.unionByName(embed_new(newest, kept, embedder))
 
     current = epoch.select(F.coalesce("current", "previous").cast("string").alias("value"))
     kv = kv_set(state.kv, EPOCH_KEY, current.scalar())
     stamp = kv_set(kv, LAST_FETCH_KEY, now)
-    any_valid = valid.exists()
+    any_valid = newest.exists()
     kv = stamp.where(any_valid).unionByName(kv.where(~any_valid)).where(F.col("value").isNotNull())
     return State(emails, vectors, kv)
 
 
 def sync(raw: DataFrame, state: State, now: str, embedder: Embedder | None = None) -> State:
     """Sync as one lazy plan."""
-    return apply(raw, accepted(ingest(raw)), state, now, embedder or hashing_embedder())
+    return apply(_ordered(raw), accepted(ingest(raw)), state, now, embedder or hashing_embedder())
 
 
-def read_state(spark: SparkSession, folder: str) -> State:
+def _ordered(raw: DataFrame) -> DataFrame:
+    if "seq" not in raw.columns:
+        raise ValueError("raw mail needs a column seq that orders the messages of a load")
+    return raw
+
+
+def read_state(spark: SparkSession, folder: str, first_run: bool = False) -> State:
+    """The stored state; on a first run it is empty if nothing is stored."""
     return State(
-        read_emails(spark, f"{folder}/emails"),
-        read_vectors(spark, f"{folder}/vectors"),
-        read_kv(spark, f"{folder}/kv"),
+        read_emails(spark, f"{folder}/emails", first_run),
+        read_vectors(spark, f"{folder}/vectors", first_run),
+        read_kv(spark, f"{folder}/kv", first_run),
     )
 
 
@@ -62,10 +82,11 @@ def run_sync(
     failed leaves the old state as it was.
     """
     staged = work_folder(spark, "sync")
-    accepted(ingest(raw)).write.parquet(staged)
-    valid = read_emails(spark, staged)
+    accepted(ingest(_ordered(raw))).write.parquet(staged)
+    valid = read_table(spark, staged, LOAD_SCHEMA)
     new = apply(raw, valid, state, now, embedder or hashing_embedder())
     write_emails(new.emails, f"{folder}/emails")
     write_vectors(new.vectors, f"{folder}/vectors")
     write_kv(new.kv, f"{folder}/kv")
+    remove(spark, staged)
     return read_state(spark, folder)

@@ -7,6 +7,8 @@ RAW_SCHEMA = T.StructType(
         T.StructField("uid", T.StringType()),
         T.StructField("uidvalidity", T.LongType()),
         T.StructField("raw", T.BinaryType()),
+        # Later messages of a load have larger numbers.
+        T.StructField("seq", T.LongType()),
     ]
 )
 
@@ -24,6 +26,9 @@ EMAILS_SCHEMA = T.StructType(
     ]
 )
 
+# Cleaned mail of one load, with its order.
+LOAD_SCHEMA = T.StructType([*EMAILS_SCHEMA.fields, T.StructField("seq", T.LongType())])
+
 KV_SCHEMA = T.StructType(
     [T.StructField("key", T.StringType()), T.StructField("value", T.StringType())]
 )

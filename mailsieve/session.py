@@ -13,11 +13,13 @@ _SHIPPED: set[str] = set()
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, for checkpoints and staged tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
-    as in a test on one machine, a temporary folder is made.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and
+    the master is this machine, as in a test, a temporary folder is made.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="mailsieve-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -28,6 +30,12 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a staged table that nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Make this package importable on every executor, once per application."""
     context = spark.sparkContext

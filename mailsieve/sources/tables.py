@@ -8,12 +8,12 @@ from pyspark.sql import types as T
 from mailsieve.schema import EMAILS_SCHEMA, KV_SCHEMA, RAW_SCHEMA, VECTORS_SCHEMA
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A parquet table; one that was never written is empty."""
+def read_table(spark: SparkSession, path: str, schema: T.StructType, first_run: bool = False) -> DataFrame:
+    """A parquet table. Only on a first run one that was never written is empty."""
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
+        if not first_run or error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
 
@@ -35,19 +35,20 @@ def read_raw(
         F.regexp_extract("path", r"([^/]*)\.eml$", 1).alias("uid"),
         F.lit(uidvalidity).cast("bigint").alias("uidvalidity"),
         F.col("content").alias("raw"),
+        F.unix_micros("modificationTime").alias("seq"),
     )
 
 
-def read_emails(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, path, EMAILS_SCHEMA)
+def read_emails(spark: SparkSession, path: str, first_run: bool = False) -> DataFrame:
+    return read_table(spark, path, EMAILS_SCHEMA, first_run)
 
 
-def read_kv(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, path, KV_SCHEMA)
+def read_kv(spark: SparkSession, path: str, first_run: bool = False) -> DataFrame:
+    return read_table(spark, path, KV_SCHEMA, first_run)
 
 
-def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, path, VECTORS_SCHEMA)
+def read_vectors(spark: SparkSession, path: str, first_run: bool = False) -> DataFrame:
+    return read_table(spark, path, VECTORS_SCHEMA, first_run)
 
 
 def write_emails(emails: DataFrame, path: str, mode: str = "errorifexists") -> None:

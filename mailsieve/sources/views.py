@@ -17,7 +17,7 @@ def mail_of(documents: DataFrame) -> DataFrame:
     return documents.select(
         F.col("doc_id").cast("string").alias("uid"),
         F.lit(1).cast("bigint").alias("uidvalidity"),
-        F.substring(F.substring_index("text", "\n", 1), 1, 60).alias("subject"),
+        F.substring_index("text", "\n", 1).alias("subject"),
         F.concat("source", F.lit("@"), "lang", F.lit(".example.com")).alias("sender"),
         F.timestamp_add("SECOND", seconds, F.lit("2024-01-01").cast("timestamp_ntz")).alias("date"),
         F.col("text").alias("body"),
@@ -42,15 +42,18 @@ def _headers() -> Column:
     )
 
 
-def raw_of(mail: DataFrame) -> DataFrame:
-    """Mail as raw messages with a link, an address, a quote and a signature."""
+def raw_of(mail: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Mail as raw messages with a link, an address, a quote and a signature.
+
+    ``keep`` names columns of the mail to pass by.
+    """
     promotion = F.when(F.col("uid").cast("bigint") % 10 == 0, "Please act now\n").otherwise("")
     raw = F.concat(
         _headers(), F.lit("\n"), "body",
         F.lit("\n\n\n\nsee https://ex.org/"), "uid", F.lit(" or a.b@ex.org\nReply-To: x\n"), promotion,
         F.lit("On 1 Jan 2024, x wrote:\n> quoted\n-- \nsig "), "uid",
     )
-    return mail.select("uid", "uidvalidity", raw.alias("raw"))
+    return mail.select("uid", "uidvalidity", *keep, raw.alias("raw"))
 
 
 def raw_mail_view(spark: SparkSession, folder: str) -> DataFrame:

@@ -12,11 +12,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from mailsieve.operators.ingest import accepted, ingest
-from mailsieve.operators.store import current_epoch, latest
-from mailsieve.schema import EMAILS_SCHEMA
+from mailsieve.operators.store import latest
+from mailsieve.schema import LOAD_SCHEMA
 from mailsieve.sources.tables import read_table
 
-CHANGES_SCHEMA = T.StructType([*EMAILS_SCHEMA.fields, T.StructField("batch_id", T.LongType())])
+CHANGES_SCHEMA = T.StructType([*LOAD_SCHEMA.fields, T.StructField("batch_id", T.LongType())])
 
 
 def read_stream(
@@ -54,9 +54,20 @@ def read_changes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def current_emails(spark: SparkSession, folder: str) -> DataFrame:
-    """Newest change of each uid, of the newest epoch only."""
-    changes = current_epoch(read_changes(spark, folder))
-    return latest(changes, "uid", ["batch_id"]).drop("batch_id")
+    """Newest change of each uid, of the epoch that came last.
+
+    A mailbox may be given a lower epoch than it had, or one that it had before; the
+    newest batch decides, and mail from before the last other epoch doesn't count.
+    """
+    changes = read_changes(spark, folder)
+    last = changes.where(F.col("uidvalidity").isNotNull()).agg(
+        F.max(F.struct("batch_id", "uidvalidity"))["uidvalidity"].alias("epoch")
+    )
+    other = changes.where(F.col("uidvalidity") != last.scalar()).agg(
+        F.coalesce(F.max("batch_id"), F.lit(-1)).alias("batch_id")
+    )
+    valid = changes.where((F.col("uidvalidity") == last.scalar()) & (F.col("batch_id") >= other.scalar()))
+    return latest(valid, "uid", ["batch_id", "seq"]).drop("batch_id", "seq")
 
 
 def first_seen(stream: DataFrame, key: str, event_time: str | None = None, delay: str = "1 day") -> DataFrame:

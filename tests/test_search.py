@@ -134,7 +134,34 @@ def test_cell_join_is_exact(table, query_table, points, queries, blocks):
 
 
 def test_large_query_table_takes_the_cells(table, query_table, points, queries):
-    assert found(cells.knn_join(query_table, table, k=3, n_cells=8, small_bytes=0)) == brute_force(queries, points, 3)
+    assert found(cells.knn_join(query_table, table, k=3, n_cells=8, method="cells")) == brute_force(queries, points, 3)
+
+
+def test_an_index_knows_how_many_neighbours_it_was_built_for(table, query_table, points, queries):
+    at = cells.sampled_cells(table, 6)
+    index = cells.build_index(table, at, 3)
+    assert found(cells.cell_join(query_table, index, at, 2, pruned=True)) == brute_force(queries, points, 2)
+    with pytest.raises(ValueError):
+        cells.cell_join(query_table, index, at, 4, pruned=True)
+
+
+def test_long_vectors_lose_no_neighbour(spark):
+    """Distances are small beside the lengths here."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=8) * 1e6
+    rows = [(f"u{i:03d}", np.float32(base + rng.normal(size=8)).tolist()) for i in range(300)]
+    asked = [(f"q{i}", v) for i, (_, v) in enumerate(rows[:40])]
+    vectors = spark.createDataFrame(rows, "uid string, embedding array<float>")
+    queries = spark.createDataFrame(asked, "query_id string, embedding array<float>")
+    want = brute_force(asked, rows, 5)
+    assert found(cells.knn_join(queries, vectors, k=5)) == want
+    assert found(cells.knn_join(queries, vectors, k=5, n_cells=6, method="cells")) == want
+
+
+def test_queries_too_large_to_send_are_refused(query_table, table, monkeypatch):
+    monkeypatch.setattr(cells, "MAX_SENT_BYTES", 100)
+    with pytest.raises(ValueError):
+        cells.knn_join(query_table, table, k=3)
 
 
 def test_fewer_vectors_than_k(spark, query_table, points):

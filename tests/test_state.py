@@ -3,6 +3,7 @@
 from datetime import datetime
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from mailsieve.functions import display
@@ -10,6 +11,7 @@ from mailsieve.operators import listing, status, store
 from mailsieve.operators.vectors import hashing_embedder
 from mailsieve.plans.sync import State, read_state, run_sync, sync
 from mailsieve.schema import EMAILS_SCHEMA, KV_SCHEMA, RAW_SCHEMA, VECTORS_SCHEMA
+from mailsieve.session import shared_folder
 from mailsieve.sources import tables
 from mailsieve.streaming import ingest as streams
 
@@ -32,7 +34,7 @@ def emails(spark):
 
 
 def raw_of(spark, messages, epoch=1):
-    rows = [(uid, epoch, f"Subject: {subject}\n\n{text}".encode()) for uid, subject, text in messages]
+    rows = [(uid, epoch, f"Subject: {subject}\n\n{text}".encode(), n) for n, (uid, subject, text) in enumerate(messages)]
     return spark.createDataFrame(rows, RAW_SCHEMA)
 
 
@@ -131,6 +133,34 @@ def test_sync_keeps_state_and_embeds_new_mail(spark, tmp_path):
     assert store.kv_get(reset.kv, "uidvalidity").first()["value"] == "2"
 
 
+def test_sync_of_repeated_uids_and_old_epochs(spark, tmp_path):
+    rows = [("1", 5, b"Subject: zeta first\n\n" + body(1).encode() + b" omega", 1), ("1", 5, b"Subject: beta second\n\n" + body(1).encode(), 2)]
+    rows += [("2", 4, b"Subject: old epoch\n\n" + body(2).encode(), 3)]
+    new = run_sync(spark, spark.createDataFrame(rows, RAW_SCHEMA), empty_state(spark), str(tmp_path / "s"), "t", hashing_embedder(64))
+    assert [(r["uid"], r["subject"]) for r in new.emails.collect()] == [("1", "beta second")]
+    own = new.emails.select("uid", hashing_embedder(64)(F.col("body")).alias("own")).join(new.vectors, "uid")
+    assert own.where("own = embedding").count() == 1
+    with pytest.raises(ValueError):
+        sync(spark.createDataFrame(rows, RAW_SCHEMA).drop("seq"), empty_state(spark), "t")
+
+
+def test_missing_paths_are_errors_but_on_a_first_run(spark, tmp_path):
+    with pytest.raises(AnalysisException):
+        tables.read_emails(spark, str(tmp_path / "absent")).count()
+    with pytest.raises(AnalysisException):
+        read_state(spark, str(tmp_path / "absent"))
+    assert read_state(spark, str(tmp_path / "absent"), first_run=True).emails.count() == 0
+
+
+def test_shared_folder_is_asked_for_off_this_machine(spark, monkeypatch):
+    class Far:
+        conf = type("conf", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("context", (), {"master": "spark://host:1", "getCheckpointDir": staticmethod(lambda: None)})
+
+    with pytest.raises(ValueError):
+        shared_folder(Far)
+
+
 def test_sync_without_valid_mail_changes_nothing(spark):
     kv = spark.createDataFrame([("uidvalidity", "1"), ("last_fetch", "t0")], KV_SCHEMA)
     state = State(*(spark.createDataFrame([], s) for s in (EMAILS_SCHEMA, VECTORS_SCHEMA)), kv)
@@ -162,6 +192,9 @@ def test_stream_equals_batch_over_several_files(spark, tmp_path):
     assert run() == after
     raw_of(spark, [("7", "epoch", body(7))], epoch=2).coalesce(1).write.mode("append").parquet(landing)
     assert run() == {"7": "epoch"}
+    # The epoch that came last counts, also if it is a lower one.
+    raw_of(spark, [("8", "lower", body(8))], epoch=1).coalesce(1).write.mode("append").parquet(landing)
+    assert run() == {"8": "lower"}
 
 
 def test_first_seen(spark, tmp_path):

@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from mailsieve.functions import entities, markup, patterns, reply, text
+from mailsieve.functions import entities, markup, patterns, quality, reply, text
 
 
 def test_strip_and_collapse_match_python(apply):
@@ -148,3 +148,22 @@ def test_long_runs_stay_linear(spark, piece):
     start = time.time()
     df.select(*(F.length(f(F.col("t"))) for f in (text.clean_body, text.clean_simple, markup.html_to_text))).collect()
     assert time.time() - start < 15
+
+
+@pytest.mark.parametrize(
+    "function, text",
+    [
+        (reply.visible_reply, lambda n: "-- " + "\n" * n + "text\n> q\nend"),
+        (lambda c: quality.spam_pattern(c, c), lambda n: "URGENT " * (n // 7) + "\nREPL"),
+        (markup.html_to_text, lambda n: "<head " * (n // 6) + "</head>" + "<head " * (n // 6)),
+    ],
+)
+def test_mixed_texts_stay_linear(spark, function, text):
+    """Doubling the text at most about doubles the time."""
+    times = []
+    for n in (40_000, 160_000):
+        df = spark.createDataFrame([(text(n),)], "v string")
+        start = time.time()
+        df.select(function(F.col("v"))).collect()
+        times.append(time.time() - start)
+    assert times[1] < 8 * times[0] + 2 and times[1] < 20
