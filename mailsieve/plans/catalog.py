@@ -25,6 +25,7 @@ DIM = 64
 _NORM = math.sqrt(sum(math.cos(i) ** 2 for i in range(DIM)))
 QUERY_VECTOR = [math.cos(i) / _NORM for i in range(DIM)]
 KEYWORDS = "the on"
+QUERY_TEXT = "the onthe and of with"
 WILDCARD_KEYWORDS = "th_n %ing the the"
 REGEX = r"\d{6}|[aeiou]{4}"
 DATE_AFTER = "2024-01-10"
@@ -665,6 +666,32 @@ def v7_search_many(spark, folder):
     return _rounded(found)
 
 
+def _embedded_mail(spark, folder):
+    """The mail, its vectors by the default embedder, and that embedder."""
+    mail, embedder = _mail(spark, folder), vectors.hashing_embedder(DIM)
+    return mail, mail.select("uid", embedder(F.col("body")).alias("embedding")), embedder
+
+
+@query
+def v4_search_text(spark, folder):
+    mail, vecs, embedder = _embedded_mail(spark, folder)
+    return _rounded(searches.search(mail, vecs, QUERY_TEXT, date_after=DATE_AFTER, limit=HITS, embedder=embedder))
+
+
+@query
+def k2_hybrid_text(spark, folder):
+    mail, vecs, embedder = _embedded_mail(spark, folder)
+    return _rounded(searches.hybrid_search(mail, vecs, QUERY_TEXT, sender=SENDER, limit=HITS, embedder=embedder))
+
+
+@query
+def v7_search_text(spark, folder):
+    """The benchmark texts as queries."""
+    mail, vecs, embedder = _embedded_mail(spark, folder)
+    texts = views.table(spark, folder, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text")
+    return _rounded(searches.search_many(mail, vecs, searches.embedded_queries(texts, embedder), k=NEIGHBOURS))
+
+
 @query
 def v8_ann_cells(spark, folder):
     vecs = views.vectors_view(spark, folder)
@@ -687,6 +714,25 @@ def v8_recall_report(spark, folder):
     return cells.recall_report(_queries(spark, folder), vecs, at, 10, PROBES)
 
 
+@query
+def v8_recall_check(spark, folder):
+    """Whether few cells find most neighbours while looking at few of the pairs."""
+    found = v8_recall_report(spark, folder)
+    return found.select("k", "nprobe", (F.col("recall") > 0.5).alias("recalls"), (F.col("candidate_fraction") < 0.5).alias("prunes"))
+
+
+@query
+def v8_lsh_check(spark, folder):
+    """Whether the hits by projections are unique, few enough and have exact distances."""
+    vecs = views.vectors_view(spark, folder)
+    exact = vecs.select("uid", vectors.squared_distance(F.col("embedding"), QUERY_VECTOR).alias("exact"))
+    hits = cells.lsh_knn(vecs, QUERY_VECTOR, k=10).join(exact, "uid", "left")
+    return hits.agg(
+        (F.count_distinct("uid") == F.count("*")).alias("unique"), F.count("*").between(1, 10).alias("few"),
+        F.every(F.abs(F.col("distance") - F.col("exact")) < 1e-6).alias("exact"),
+    )
+
+
 @query
 def k1_keyword(spark, folder):
     return keyword.keyword_search(_mail(spark, folder), KEYWORDS, date_after=DATE_AFTER, regex=REGEX, limit=HITS)

@@ -523,6 +523,38 @@ ORACLE["v7_search_many"] = over(
     f"""SELECT {JOINED}, subject, sender, date, {preview('body')} body_preview, coalesce(body, '') full_body
     FROM best JOIN mail USING (uid) WHERE date >= timestamp '{c.DATE_AFTER}'""",
 )
+
+
+def embedded(name: str, rows: str) -> str:
+    """Vectors of the default embedder, of rows (uid, body)."""
+    return rf"""{name}_rows AS ({rows}),
+  {name}_tokens AS (SELECT uid, unnest(regexp_split_to_array(lower(body), '[^\pL\pN]+')) t FROM {name}_rows),
+  {name}_counts AS (SELECT uid, cast(cast('0x' || substr(md5(t), 1, 7) AS bigint) % {c.DIM} AS integer) bucket, count(*) n
+    FROM {name}_tokens WHERE t <> '' GROUP BY ALL),
+  {name}_weights AS (SELECT uid, bucket, cast(n / sqrt(sum(n * n) OVER (PARTITION BY uid)) AS float) w FROM {name}_counts),
+  {name} AS (SELECT r.uid, list(coalesce(w, 0)::FLOAT ORDER BY b) embedding FROM {name}_rows r CROSS JOIN range({c.DIM}) bs(b)
+    LEFT JOIN {name}_weights k ON k.uid = r.uid AND k.bucket = b GROUP BY r.uid)"""
+
+
+MAIL_VECS = embedded("vecs", "SELECT uid, body FROM mail")
+ASKED = embedded("asked", f"SELECT 'q' uid, '{c.QUERY_TEXT}' body")
+NEAR_TEXT = f"near AS (SELECT v.uid, {distance('v.embedding', 'a.embedding::DOUBLE[]')} distance FROM vecs v, asked a)"
+ORACLE["v4_search_text"] = over(
+    f"{MAIL}, {MAIL_VECS}, {ASKED}, {NEAR_TEXT}, {nearest(c.HITS)}",
+    f"SELECT {RESULT} FROM hits JOIN mail USING (uid) WHERE date >= timestamp '{c.DATE_AFTER}'",
+)
+ORACLE["k2_hybrid_text"] = over(
+    f"{MAIL}, {MAIL_VECS}, {ASKED}, {NEAR_TEXT}, {nearest(c.HITS)}",
+    f"""SELECT {RESULT}, 'semantic' AS "source" FROM hits JOIN mail USING (uid) WHERE sender ILIKE '%{c.SENDER}%'""",
+)
+ORACLE["v7_search_text"] = over(
+    f"{MAIL}, {MAIL_VECS}, {embedded('asked', 'SELECT cast(item_id AS varchar) uid, text body FROM benchmark')}, "
+    + RANKED.replace("FROM vecs q, vecs v", "FROM asked q, vecs v"),
+    f"""SELECT {JOINED}, subject, sender, date, {preview('body')} body_preview, coalesce(body, '') full_body
+    FROM best JOIN mail USING (uid)""",
+)
+ORACLE["v8_recall_check"] = f"SELECT cast(10 AS integer) k, cast({c.PROBES} AS integer) nprobe, true recalls, true prunes"
+ORACLE["v8_lsh_check"] = 'SELECT true "unique", true few, true exact'
 ORACLE["v8_ann_cells"] = over(
     VECS,
     f""", centres AS (SELECT row_number() OVER (ORDER BY md5(uid), uid) - 1 cell, embedding FROM vecs

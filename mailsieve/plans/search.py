@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mailsieve.functions.display import preview
@@ -10,11 +10,22 @@ from mailsieve.functions.patterns import or_empty
 from mailsieve.operators import filters
 from mailsieve.operators.cells import knn_join
 from mailsieve.operators.keyword import keyword_search
-from mailsieve.operators.vectors import knn
+from mailsieve.operators.vectors import Embedder, hashing_embedder, knn
 
 RESULT_COLUMNS = ("uid", "subject", "sender", "date", "body_preview", "full_body", "similarity_score")
 
 
+def embed_query(spark: SparkSession, text: str, embedder: Embedder | None = None) -> list[float]:
+    """The vector of one query text, by the embedder of the index."""
+    row = spark.range(1).select((embedder or hashing_embedder())(F.lit(text)).alias("embedding")).first()
+    return [float(x) for x in row["embedding"]]
+
+
+def embedded_queries(queries: DataFrame, embedder: Embedder | None = None, text: str = "text") -> DataFrame:
+    """A table of query texts (query_id, text) as query_id and embedding."""
+    return queries.select("query_id", (embedder or hashing_embedder())(F.col(text)).alias("embedding"))
+
+
 def with_mail(hits: DataFrame, emails: DataFrame) -> DataFrame:
     """Hits with the columns of their message; a hit without one is dropped."""
     return hits.join(emails, "uid").select(
@@ -43,7 +54,7 @@ def _filtered(rows, body, date_after, date_before, sender, regex, regex_on):
 def search(
     emails: DataFrame,
     vectors: DataFrame,
-    query: Sequence[float],
+    query: Sequence[float] | str,
     *,
     date_after: str | None = None,
     date_before: str | None = None,
@@ -52,12 +63,16 @@ def search(
     limit: int = 10,
     filter_mode: str = "post",
     regex_on: str = "preview",
+    embedder: Embedder | None = None,
 ) -> DataFrame:
     """Nearest messages that pass the filters, best first.
 
+    ``query`` is a text, which is embedded as the messages were, or its vector.
     ``post`` filters the nearest ``limit`` messages, so fewer may be left;
     ``pre`` takes the nearest of those that pass.
     """
+    if isinstance(query, str):
+        query = embed_query(emails.sparkSession, query, embedder)
     conditions = (date_after, date_before, sender, regex, regex_on)
     if filter_mode == "pre":
         passing = _filtered(emails, "body", *conditions).select("uid")
@@ -79,8 +94,8 @@ def search_basic(emails, vectors, query, date_after=None, regex=None, limit: int
 def hybrid_search(
     emails: DataFrame,
     vectors: DataFrame,
-    query: Sequence[float],
-    words: str,
+    query: Sequence[float] | str,
+    words: str | None = None,
     *,
     date_after: str | None = None,
     date_before: str | None = None,
@@ -88,9 +103,13 @@ def hybrid_search(
     regex: str | None = None,
     limit: int = 10,
     fallback_filters: bool = False,
+    filter_mode: str = "post",
+    regex_on: str = "preview",
+    embedder: Embedder | None = None,
 ) -> DataFrame:
     """Vector search; keyword search if nothing is left after its filters.
 
+    A query given as text also gives the keywords, unless ``words`` are named.
     Both are planned together and cut to ``limit`` rows each, and the better
     source present wins. The fallback ignores the sender and the later date
     bound, unless ``fallback_filters`` is set.
@@ -104,7 +123,14 @@ def hybrid_search(
         sender=sender,
         regex=regex,
         limit=limit,
+        filter_mode=filter_mode,
+        regex_on=regex_on,
+        embedder=embedder,
     )
+    if words is None:
+        if not isinstance(query, str):
+            raise ValueError("a query given as a vector needs words for the keyword search")
+        words = query
     fallback = emails
     if fallback_filters:
         fallback = _filtered(emails, "body", None, date_before, sender, None, "body")
@@ -125,6 +151,9 @@ def hybrid_search(
 def search_many(
     emails: DataFrame, vectors: DataFrame, queries: DataFrame, *, date_after: str | None = None, k: int = 5
 ) -> DataFrame:
-    """The interactive loop as a batch: the k nearest messages of each query."""
+    """The interactive loop as a batch: the k nearest messages of each query.
+
+    Queries are vectors; ``embedded_queries`` makes them of texts.
+    """
     hits = with_mail(knn_join(queries, vectors, k), emails)
     return _filtered(hits, "full_body", date_after, None, None, None, "body")

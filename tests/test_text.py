@@ -142,6 +142,14 @@ def test_html_to_text(apply):
     ]
 
 
+def test_quoted_blocks_of_html_are_quotes(apply):
+    nested = "<p>answer</p><blockquote>a<br>b<blockquote><p>older</p></blockquote></blockquote><p>end</p>"
+    texts = ["<p>answer</p><blockquote><p>old text</p></blockquote>", nested, "x<blockquote>open<br>y"]
+    found = apply(markup.html_to_text, texts)
+    assert found == ["answer\n\n> old text", "answer\n\n> a\n> b\n> \n> > older\n\nend", "x\n\n> open\n> y"]
+    assert apply(reply.visible_reply, found) == ["answer", "answer\nend", "x"]
+
+
 @pytest.mark.parametrize("piece", ["w", "-", " ", "\n", "> q\n", "<", "On ", "From:", "a@", "<!--", "&", "\n--\nx", "On x\n"])
 def test_long_runs_stay_linear(spark, piece):
     df = spark.range(1).select(F.repeat(F.lit(piece), 40000).alias("t"))
