@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from mailsieve.session import shared_folder, work_folder
 
+BATCH_BYTES = 8 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -26,6 +27,18 @@ def stage(df: DataFrame, purpose: str) -> DataFrame:
     return staged
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same table; texts reach Python in batches of at most ``BATCH_BYTES``.
+
+    The setting is lowered for the session, never raised: what a task holds of long
+    texts, and of what is made from them, is a multiple of it.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(key).rstrip("b")) > BATCH_BYTES:
+        conf.set(key, BATCH_BYTES)
+    return df
+
+
 def unstage(staged: DataFrame) -> None:
     """Remove a staged table that nothing reads any more."""
     _delete(staged.sparkSession, staged.staged_path)

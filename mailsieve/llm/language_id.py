@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailsieve.llm.common import small_batches
+
 UNKNOWN = "und"
 DIMENSIONS = 512
 GRAM = 3
@@ -130,7 +132,7 @@ def _learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and their vectors of length 1, from columns lang and text."""
-    rows = labelled.filter("lang is not null and text is not null").select("lang", "text")
+    rows = small_batches(labelled).filter("lang is not null and text is not null").select("lang", "text")
     parts = rows.mapInPandas(_learn, "lang string, profile array<double>")
     sums = parts.select("lang", F.posexplode("profile")).groupBy("lang", "pos").agg(F.sum("col").alias("total"))
     profiles = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("pos", "total"))).alias("profile"))
@@ -156,7 +158,7 @@ def has_letter(text: str | None) -> bool:
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, and lang_pred and score, which replace columns of that name."""
     langs, profiles = model
-    kept = docs.select([f"`{c}`" for c in docs.columns if c not in ("lang_pred", "score")])
+    kept = small_batches(docs).select([f"`{c}`" for c in docs.columns if c not in ("lang_pred", "score")])
     named = kept.select(F.struct("*").alias("row"), F.col(f"`{text_col}`").alias("text"))
 
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

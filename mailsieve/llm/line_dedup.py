@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailsieve.llm.common import stage
+from mailsieve.llm.common import small_batches, stage
 
 WINDOW = 2
 SPREAD = 3
@@ -110,7 +110,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """All columns of ``docs`` with the text that stays, and n_removed (chunks),
     which replaces a column of that name."""
     columns = [c for c in docs.columns if c != "n_removed"]
-    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))
+    named = small_batches(docs).select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))
     named = named.select("row", F.col("row")[id_col].alias("id"), F.col("row")[text_col].alias("text"))
     named = named.withColumn("sign", F.xxhash64("text"))
     gone = repeated_chunks(named.drop("row")).groupBy("id", "sign").agg(F.collect_list("first").alias("gone"))

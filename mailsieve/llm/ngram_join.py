@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailsieve.llm.common import stage, unstage
+from mailsieve.llm.common import small_batches, stage, unstage
 from mailsieve.llm.components import components
 from mailsieve.llm.shingles import shingle_sets
 
@@ -260,7 +260,7 @@ def _labelled(rows: DataFrame, label: DataFrame, column: str) -> DataFrame:
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, n_shingles, component_id."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sizes, survivors = set_sizes_and_survivors(rows)
     classes = sizes.filter("n > 0 and id is not null").groupBy("digest").agg(
         F.min("id").alias("first"), F.max("id").alias("last")

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailsieve.llm.common import stage
+from mailsieve.llm.common import small_batches, stage
 
 KINDS = ("assign", "access", "hex", "owned")
 ASSIGN = re.compile(
@@ -113,7 +113,7 @@ FOUND = "array<struct<kind:string,start:bigint,end:bigint,hash:string>>"
 
 def scan(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col: str) -> DataFrame:
     """Candidates per row; staged, as both the counts and the result read them."""
-    rows = docs.select(
+    rows = small_batches(docs).select(
         F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"),
         F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"),
     )

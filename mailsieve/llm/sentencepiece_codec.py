@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailsieve.llm.common import stage
+from mailsieve.llm.common import small_batches, stage
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 32_768
@@ -260,7 +260,7 @@ MATRIX = "array<struct<a:int,b:int,c:int,d:int>>"
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
     """Per row: id, token_ids, n_tokens, round_trip (the ids decode to the text)."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     giant = F.coalesce(F.char_length("text") >= CHUNK, F.lit(False))
 
     def small(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -29,6 +29,8 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailsieve.llm.common import small_batches
+
 LEAF = 512
 REACH = 2
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -154,7 +156,7 @@ def with_trees(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABU
                 rows.append(([len(x) for x in leaves], [len(encode(x)) for x in leaves]))
             yield pd.DataFrame(rows, columns=["chars", "tokens"])
 
-    return docs.withColumn("tree", F.pandas_udf(build, TREE)(F.col(text_col).cast("string")))
+    return small_batches(docs).withColumn("tree", F.pandas_udf(build, TREE)(F.col(text_col).cast("string")))
 
 
 def n_tokens(tree: Column) -> Column:
@@ -182,4 +184,4 @@ def apply_edits(docs: DataFrame, text_col: str = "text", edits_col: str = "edits
             yield pd.DataFrame(rows, columns=["n_tokens", "n_chars", "recounted_chars", "text"])
 
     changed = F.pandas_udf(run, EDITED)
-    return docs.withColumn("edited", changed(F.col(text_col).cast("string"), F.col("tree"), F.col(edits_col)))
+    return small_batches(docs).withColumn("edited", changed(F.col(text_col).cast("string"), F.col("tree"), F.col(edits_col)))
