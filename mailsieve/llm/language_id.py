@@ -31,11 +31,28 @@ GRAM = 3
 SEED = 20
 #: Characters of text encoded at once; bounds the memory of a task.
 PIECE = 1_000_000
+#: Up to so many possible values are counted in an array instead of sorted.
+MAX_COUNTED = 1 << 22
 #: Learned languages are sent to every task; more than this is an error.
 MAX_LANGUAGES = 2_000
 FOLDS = 5
 
 
+def numbered(values: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, sorted, and for each value its place among them.
+
+    Values below a moderate ``end`` are counted, which needs no sort of them all.
+    """
+    if end > MAX_COUNTED:
+        return np.unique(values, return_inverse=True)
+    seen = np.zeros(end, bool)
+    seen[values] = True
+    distinct = np.flatnonzero(seen)
+    place = np.zeros(end, np.int32)
+    place[distinct] = np.arange(len(distinct))
+    return distinct, place[values]
+
+
 class Encoder:
     """Texts to sums of n-gram vectors; one per worker."""
 
@@ -67,13 +84,13 @@ class Encoder:
         occurrence its run and its n-gram."""
         run = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         symbols = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        used, place = np.unique(symbols, return_inverse=True)
+        used, place = numbered(symbols, 0x110000)
         n = max(0, len(symbols) - GRAM + 1)
         code = np.zeros(n, np.int64)
         for k in range(GRAM):
             code = code * len(used) + place[k : k + n]
         inside = run[:n] == run[GRAM - 1 :]
-        codes, gram = np.unique(code[inside], return_inverse=True)
+        codes, gram = numbered(code[inside], len(used) ** GRAM)
         own = np.stack([self.letter(s) for s in used.tolist()]) if len(used) else np.zeros((0, DIMENSIONS), np.float32)
         vectors, rest = np.ones((len(codes), DIMENSIONS), np.float32), codes
         for k in range(GRAM):
