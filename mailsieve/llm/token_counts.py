@@ -38,6 +38,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 PRE_TOKEN = regex.compile(PATTERN)
+#: A blank between two letters always begins a pre-token, whatever stands around it.
+BETWEEN_WORDS = regex.compile(r"(?<=\p{L}) (?=\p{L})")
 TREE = "struct<chars:array<int>,tokens:array<int>>"
 EDITED = "struct<n_tokens:bigint,n_chars:bigint,recounted_chars:bigint,text:string>"
 _LOADED: dict[str, tiktoken.Encoding] = {}
@@ -62,16 +64,28 @@ def leaf_ends(text: str) -> Iterator[int]:
 
 
 def leaves_of(text: str) -> list[str]:
-    """Runs of whole pre-tokens, each ended by the pre-token that makes it long enough."""
+    """Runs of whole pre-tokens of about LEAF characters.
+
+    They end between two words; where no such place is near, the text is lexed.
+    """
     ends = [0]
-    for end in leaf_ends(text):
-        if end - ends[-1] >= LEAF:
-            ends.append(end)
+    while len(text) - ends[-1] > LEAF:
+        place = ends[-1] + LEAF
+        plain = BETWEEN_WORDS.search(text, place, place + 4 * LEAF)
+        ends.append(plain.start() if plain else _next_end(text, ends[-1], place))
     if ends[-1] < len(text):
         ends.append(len(text))
     return [text[a:b] for a, b in zip(ends, ends[1:])]
 
 
+def _next_end(text: str, begin: int, place: int) -> int:
+    """The first end of a leaf from ``place`` on, with a pre-token beginning at ``begin``."""
+    for piece in PRE_TOKEN.finditer(text, begin):
+        if piece.end() >= place and not text[piece.end() - 1].isspace():
+            return piece.end()
+    return len(text)
+
+
 class Tree:
     """Sums over leaves, as heaps whose node k has the children 2k and 2k + 1."""
 
