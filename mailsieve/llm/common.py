@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from mailsieve.session import shared_folder, work_folder
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 

@@ -39,7 +39,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 32_768
 SPACE = "▁"
 #: Pairs of pieces a worker remembers; the memory is emptied beyond that.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 #: The state before a text: no piece.
 START = (0, 0)
 
