@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mailsieve.functions.headers import header_block, message_body
 from mailsieve.functions.markup import html_to_text
-from mailsieve.functions.patterns import or_empty, strip
+from mailsieve.functions.patterns import let, or_empty, strip
 from mailsieve.schema import PARTS_TYPE
 
 # Fixed value: a plain text has to be longer than this to be preferred to HTML.
@@ -21,6 +22,7 @@ SUBSTANTIAL_CHARS = 50
 _TEXT_TYPES = ("text/plain", "text/html")
 _UTF8 = ("", "utf-8", "utf8")
 _ASCII = ("us-ascii", "ascii")
+_LATIN1 = ("iso-8859-1", "iso8859-1", "latin-1", "latin1")
 _IDENTITY = ("", "7bit", "8bit", "binary")
 _ARROW_PARTS = pa.list_(
     pa.struct(
@@ -100,18 +102,25 @@ def needs_parser(kind: Column, name: Column, coding: Column, body: Column) -> Co
     """Whether the native expressions cannot read a message of this content
     type, charset and transfer encoding."""
     flat = ~kind.startswith("multipart/") & ~kind.startswith("message/")
-    identity = coding.isin(*_IDENTITY) & name.isin(*_UTF8, *_ASCII)
+    identity = coding.isin(*_IDENTITY) & name.isin(*_UTF8, *_ASCII, *_LATIN1)
     encoded = (coding == "base64") & name.isin(*_UTF8) & _base64(body).isNotNull()
     return ~(flat & (identity | encoded))
 
 
+def _body_of(text: Column) -> Column:
+    return message_body(text, header_block(text))
+
+
 def message_parts(
     raw: Column, kind: Column, name: Column, coding: Column, body: Column, parser: Column
 ) -> Column:
     """Array of parts; ``parser`` says which rows take the Arrow path."""
+    latin = name.isin(*_LATIN1) & ~parser
+    latin_body = F.when(latin, let(F.decode(raw.cast("binary"), "ISO-8859-1"), _body_of))
     text = (
         F.when(coding == "base64", decode_lossy(_base64(body)))
         .when(name.isin(*_ASCII), F.regexp_replace(body, r"[^\x00-\x7f]", ""))
+        .when(latin, latin_body)
         .otherwise(body)
     )
     flat = F.array(
@@ -120,7 +129,7 @@ def message_parts(
             kind.alias("content_type"),
             F.when(name == "", "utf-8").otherwise(name).alias("charset"),
             text.alias("text"),
-            F.when(name.isin(*_ASCII), body).alias("utf8_text"),
+            F.when(name.isin(*_ASCII) | (latin & (body != latin_body)), body).alias("utf8_text"),
         )
     )
     parsed = _walk_batch(F.when(parser, raw.cast("binary")))
