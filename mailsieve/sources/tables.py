@@ -19,7 +19,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, first_run:
 
 
 def read_raw(
-    spark: SparkSession, path: str, fmt: str = "parquet", uidvalidity: int | None = None
+    spark: SparkSession, path: str, fmt: str = "parquet", uidvalidity: int | None = None, first_run: bool = False
 ) -> DataFrame:
     """Raw messages: a parquet table, or a folder of ``.eml`` files.
 
@@ -27,7 +27,7 @@ def read_raw(
     given by the caller. Partitions of the scan take the place of batches.
     """
     if fmt == "parquet":
-        return read_table(spark, path, RAW_SCHEMA)
+        return read_table(spark, path, RAW_SCHEMA, first_run)
     if fmt != "eml":
         raise ValueError(f"unknown raw mail format: {fmt}")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.eml").load(path)

@@ -3,6 +3,7 @@
 import email
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from mailsieve.functions import headers, mime
@@ -150,7 +151,9 @@ def test_decode_keeps_real_replacement_characters(apply):
 def test_read_raw(spark, frame, tmp_path):
     frame("Subject: a\n\nb").write.parquet(str(tmp_path / "raw"))
     assert read_raw(spark, str(tmp_path / "raw")).count() == 1
-    assert read_raw(spark, str(tmp_path / "none")).count() == 0
+    assert read_raw(spark, str(tmp_path / "none"), first_run=True).count() == 0
+    with pytest.raises(AnalysisException):
+        read_raw(spark, str(tmp_path / "none"))
     for uid in ("11", "12", "13"):
         (tmp_path / f"{uid}.eml").write_text(f"Subject: s{uid}\n\nbody")
     (tmp_path / "note.txt").write_text("x")
