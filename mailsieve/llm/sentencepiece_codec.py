@@ -24,12 +24,12 @@ to the model, all other texts decode to themselves; repeated rows are encoded
 each; an empty table gives an empty result; other columns are not read.
 """
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 import sentencepiece
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -283,10 +283,11 @@ def _encode_giants(rows: DataFrame, model: str) -> DataFrame:
     id_type = rows.schema["id"].dataType
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reach = pieces_of(model).reach
+        # A key that a repeated task gives again: its partition and the row's number in it.
+        reach, part, row = pieces_of(model).reach, TaskContext.get().partitionId(), 0
         for batch in batches:
             for id_, text in zip(batch["id"], batch["text"]):
-                key, digest = uuid.uuid4().hex, _digest(text)
+                key, digest, row = f"{part}-{row}", _digest(text), row + 1
                 out = [(id_, digest, key, *chunk) for chunk in cut_up(text, reach)]
                 frame = pd.DataFrame(out, columns=["id", "digest", "key", "number", "text", "low", "high", "first", "final"])
                 yield frame.astype({"id": "object"})
