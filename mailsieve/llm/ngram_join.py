@@ -78,7 +78,7 @@ def _hashed(bits: int):
         small = ((tokens << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
         edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=1 << bits))
         for low, high in zip(edges[:-1], edges[1:]):
-            yield name, int(bucket[low]), len(sets), None, 0, None, small[low:high].tobytes(), owner[low:high].tobytes()
+            yield name, int(bucket[low]), -1, None, 0, None, small[low:high].tobytes(), owner[low:high].tobytes()
 
     columns = ["batch", "bucket", "number", "id", "n", "digest", "tokens", "owners"]
 
@@ -102,7 +102,8 @@ def _hashed(bits: int):
 
 
 def _own_tokens(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """For one bucket: per batch, how many tokens of each text no other text has."""
+    """For one bucket: per batch, which of its texts have tokens that no other text
+    has, and how many."""
     parts = [np.frombuffer(t, np.uint32) for t in rows["tokens"]]
     tokens = np.concatenate(parts)
     order = np.argsort(tokens)
@@ -110,19 +111,20 @@ def _own_tokens(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     differs = tokens[1:] != tokens[:-1]
     alone = np.empty(len(tokens), bool)
     alone[order] = np.concatenate(([True], differs)) & np.concatenate((differs, [True]))
-    counts, at = [], 0
-    for part, owners, texts in zip(parts, rows["owners"], rows["number"]):
-        owner = np.frombuffer(owners, np.uint32)[alone[at : at + len(part)]]
-        counts.append(np.bincount(owner, minlength=texts).astype(np.int32).tobytes())
+    found, at = [], 0
+    for name, part, owners in zip(rows["batch"], parts, rows["owners"]):
+        owner, count = np.unique(np.frombuffer(owners, np.uint32)[alone[at : at + len(part)]], return_counts=True)
         at += len(part)
-    return pd.DataFrame({"batch": rows["batch"], "own": counts})
+        if len(owner):
+            found.append((name, owner.tobytes(), count.astype(np.uint32).tobytes()))
+    return pd.DataFrame(found, columns=["batch", "owners", "own"])
 
 
 def _survivors(key: tuple, counts: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
     """For one batch: the ids of the texts that may link."""
     own = np.zeros(len(texts), np.int32)
-    for part in counts["own"]:
-        own += np.frombuffer(part, np.int32)
+    for owners, part in zip(counts["owners"], counts["own"]):
+        own[np.frombuffer(owners, np.uint32)] += np.frombuffer(part, np.uint32).astype(np.int32)
     mine = own[texts["number"].to_numpy(np.int64)]
     keep = (mine <= spare(texts["n"].to_numpy(np.int64))) & (texts["n"] > 0) & texts["id"].notna()
     return texts.loc[keep, ["id"]]
@@ -145,8 +147,8 @@ def set_sizes_and_survivors(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     given = docs.select(F.col("id").cast("string").alias("id"), F.col("text").cast("binary").alias("text"))
     hashed = stage(given.mapInPandas(_hashed(bits), schema), "sets")
     texts = stage(hashed.filter("bucket = -1").select("batch", "number", "id", "n", "digest"), "set-sizes")
-    buckets = hashed.filter("bucket >= 0").select("batch", "bucket", "number", "tokens", "owners")
-    own = buckets.groupBy("bucket").applyInPandas(_own_tokens, "batch string, own binary")
+    buckets = hashed.filter("bucket >= 0").select("batch", "bucket", "tokens", "owners")
+    own = buckets.groupBy("bucket").applyInPandas(_own_tokens, "batch string, owners binary, own binary")
     alive = own.groupBy("batch").cogroup(texts.select("batch", "number", "id", "n").groupBy("batch"))
     survivors = stage(alive.applyInPandas(_survivors, "id string"), "survivors")
     unstage(hashed)
