@@ -34,7 +34,8 @@ def small_batches(df: DataFrame) -> DataFrame:
     texts, and of what is made from them, is a multiple of it.
     """
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(conf.get(key).rstrip("b")) > BATCH_BYTES:
+    in_bytes = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if in_bytes(conf.get(key)) > BATCH_BYTES:
         conf.set(key, BATCH_BYTES)
     return df
 
