@@ -8,7 +8,7 @@ from mailsieve.llm.embedding_dedup import embedding_dedup
 from mailsieve.llm.exact_dedup import exact_dedup
 from mailsieve.llm.language_id import language_id
 from mailsieve.llm.licenses import BREAK, RULES, SENTENCES, license_scan
-from mailsieve.llm.line_dedup import line_dedup
+from mailsieve.llm.line_dedup import run_dedup
 from mailsieve.llm.mixing import apply_mix
 from mailsieve.llm.ngram_join import ngram_join
 from mailsieve.llm.secret_scan import secret_scan
@@ -130,8 +130,8 @@ def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """The text that stays of every document, and how many chunks it lost."""
-    return line_dedup(table(spark, folder, "documents")).select("doc_id", "text", "n_removed")
+    """The text that stays of every document, and how many lines it lost."""
+    return run_dedup(table(spark, folder, "documents")).select("doc_id", "text", "n_removed")
 
 
 @query

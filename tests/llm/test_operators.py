@@ -142,6 +142,51 @@ def test_line_dedup_odd(odd, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def brute_runs(rows):
+    """Every run of two or more lines against every earlier place, line by line."""
+    texts = [(i, t.split("\n")) for i, t in sorted(rows)]
+    out = {}
+    for at, (id_, lines) in enumerate(texts):
+        gone = set()
+        for other in texts[: at + 1]:
+            for a in range(len(other[1])):
+                for b in range(a + 2 if other[0] == id_ else 0, len(lines)):
+                    n = 0
+                    while a + n < len(other[1]) and b + n < len(lines) and other[1][a + n] == lines[b + n]:
+                        n += 1
+                    gone |= set(range(b, b + n)) if n >= 2 else set()
+        kept = [line for k, line in enumerate(lines) if k not in gone]
+        out[id_] = ("\n".join(kept), len(gone))
+    return out
+
+
+def test_run_dedup_finds_all_shared_runs(spark):
+    random.seed(6)
+    lines = [f"line {k} of all" for k in range(300)]
+    rows = []
+    for k in range(60):
+        text = random.sample(lines, k=random.randint(1, 8))
+        if k % 2:
+            a, n = random.randint(0, 20), random.randint(2, 5)
+            text[1:1] = [f"passage {j}" for j in range(a, a + n)]
+        rows.append((k, "\n".join([f"head {k}", *text, f"tail {k}"])))
+    rows += [(100, rows[7][1]), (101, "same\n" * 5 + "end"), (102, "x\nsame\nsame\ny")]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], SCHEMA)
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.run_dedup(df.repartition(3)).collect()}
+    assert got == brute_runs(rows) and got[100][0] == ""
+    assert got[101] == ("same\nsame\nend", 3) and got[102] == ("x\ny", 2)
+
+
+def test_run_dedup_odd(odd, empty, spark):
+    out = line_dedup.run_dedup(odd)
+    assert out.columns == [*odd.columns, "n_removed"] and out.count() == len(ODD)
+    texts = {r.doc_id: r.text for r in out.collect()}
+    assert texts[1] is None and texts[5] == LONG and texts[2] == ""
+    assert line_dedup.run_dedup(empty).count() == 0
+    blank = spark.createDataFrame([(1, "\n\na\nb\n\n", "", ""), (2, "\n\na\nb\n\n", "", "")], SCHEMA)
+    assert {r.doc_id: r.text for r in line_dedup.run_dedup(blank).collect()} == {1: "\n\na\nb\n\n", 2: ""}
+
+
 # 3 token counts
 
 
