@@ -8,12 +8,14 @@ large, or that many queries visit, are split into blocks of bounded size, so
 no task ever sees a whole hot cell. A block yields k rows per query.
 """
 
+import functools
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
@@ -27,6 +29,8 @@ from mailsieve.session import work_folder
 MAX_CELLS = 4096
 BLOCK_VECTORS = 4096
 BLOCK_QUERIES = 1024
+# Cells are joined in so many groups; a query is sent once to each group that it visits.
+CELL_GROUPS = 16
 # Queries sent to every task are at most this large.
 MAX_SENT_BYTES = 32 << 20
 # Rounding slack of a squared distance from a matrix product, by the squared lengths it is a
@@ -166,8 +170,8 @@ def _visited(points: np.ndarray, cells: Cells, summary: CellSummary, k: int, npr
     return visited & (summary.size > 0)
 
 
-def route(queries: DataFrame, cells: Cells, summary: CellSummary, k: int, nprobe: int | None) -> DataFrame:
-    """One row per query and visited cell."""
+def _with_visits(queries: DataFrame, cells: Cells, summary: CellSummary, k: int, nprobe: int | None) -> DataFrame:
+    """Queries and the list of the cells that each visits."""
 
     @F.arrow_udf("array<int>")
     def visits(batch: pa.Array) -> pa.Array:
@@ -176,9 +180,13 @@ def route(queries: DataFrame, cells: Cells, summary: CellSummary, k: int, nprobe
         visited = _visited(matrix(batch), cells, summary, k, nprobe)
         return pa.array([np.flatnonzero(row).astype(np.int32) for row in visited], type=pa.list_(pa.int32()))
 
-    return queries.where(F.col("embedding").isNotNull()).select(
-        "query_id", "embedding", F.explode(visits("embedding")).alias("cell")
-    )
+    return queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding", visits("embedding").alias("cells"))
+
+
+def route(queries: DataFrame, cells: Cells, summary: CellSummary, k: int, nprobe: int | None) -> DataFrame:
+    """One row per query and visited cell."""
+    visiting = _with_visits(queries, cells, summary, k, nprobe)
+    return visiting.select("query_id", "embedding", F.explode("cells").alias("cell"))
 
 
 def _nearest_in_block(
@@ -253,9 +261,18 @@ def _block_hits(k: int):
             return _ARROW_HITS.empty_table()
         uids = np.array(vectors.column("uid").to_pylist(), dtype=object)
         ids = np.array(queries.column("query_id").to_pylist(), dtype=object)
-        q, v, distance = _nearest_in_block(
-            matrix(queries.column("embedding")), matrix(vectors.column("embedding")), _ranks(uids), k
-        )
+        asking, points, rank = matrix(queries.column("embedding")), matrix(vectors.column("embedding")), _ranks(uids)
+        visits = queries.column("cells").combine_chunks()
+        visitor, visited = np.asarray(pa.compute.list_parent_indices(visits)), np.asarray(visits.flatten())
+        cell = np.asarray(vectors.column("cell"))
+        hits = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for number in np.unique(cell):
+            rows, who = np.flatnonzero(cell == number), visitor[visited == number]
+            if len(who):
+                bq, bv, bd = _nearest_in_block(asking[who], points[rows], rank[rows], k)
+                hits.append((who[bq], rows[bv], bd))
+        q, v, distance = (np.concatenate(column) for column in zip(*hits))
+        q, v, distance = _first_k(q, v, distance, rank[v], k)
         return pa.Table.from_arrays(
             [pa.array(ids[q], pa.string()), pa.array(uids[v], pa.string()), pa.array(distance)],
             schema=_ARROW_HITS,
@@ -289,8 +306,9 @@ def broadcast_join(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return _merge(vectors.mapInArrow(scan, _HIT_SCHEMA), k)
 
 
-def _per_cell(values: np.ndarray) -> Column:
-    return F.element_at(F.from_json(F.lit(json.dumps(values.tolist())), "array<int>"), F.col("cell") + 1)
+def _per(number: str, values: np.ndarray) -> Column:
+    """The value of a cell or group, by its number."""
+    return F.element_at(F.from_json(F.lit(json.dumps(values.tolist())), "array<int>"), F.col(number) + 1)
 
 
 def cell_join(
@@ -316,24 +334,28 @@ def cell_join(
     else:
         index = without_surplus_copies(index, k)
     summary = summarize(index, cells, k)
-    routed = route(queries, cells, summary, k, nprobe)
-    asked = np.zeros(len(cells), np.int64)
-    for row in routed.groupBy("cell").count().collect():
-        asked[row["cell"]] = row["count"]
-    vector_blocks = -(-summary.size // block_vectors)
+    n = min(len(cells), CELL_GROUPS)
+    visiting = _with_visits(queries, cells, summary, k, nprobe).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    routed = visiting.withColumn("cells", F.filter("cells", lambda c: c % n == F.col("part"))).where(F.size("cells") > 0)
+    asked = np.zeros(n, np.int64)
+    for row in routed.groupBy("part").count().collect():
+        asked[row["part"]] = row["count"]
+    held = np.bincount(np.arange(len(cells)) % n, weights=summary.size, minlength=n).astype(np.int64)
+    vector_blocks = -(-held // block_vectors)
     query_blocks = -(-asked // block_queries)
 
-    split = lambda key, blocks: F.pmod(F.xxhash64(key), _per_cell(blocks)).cast("int")
-    each = lambda blocks: F.explode(F.sequence(F.lit(0), _per_cell(blocks) - 1))
+    split = lambda key, blocks: F.pmod(F.xxhash64(key), _per("part", blocks)).cast("int")
+    each = lambda blocks: F.explode(F.sequence(F.lit(0), _per("part", blocks) - 1))
     left = (
-        index.where(_per_cell(query_blocks) > 0)
-        .select("uid", "embedding", "cell", split("uid", vector_blocks).alias("v"))
+        index.withColumn("part", F.col("cell") % n)
+        .where(_per("part", query_blocks) > 0)
+        .select("uid", "embedding", "cell", "part", split("uid", vector_blocks).alias("v"))
         .withColumn("q", each(query_blocks))
     )
-    right = routed.select("query_id", "embedding", "cell", split("query_id", query_blocks).alias("q")).withColumn(
-        "v", each(vector_blocks)
-    )
-    block = ("cell", "v", "q")
+    right = routed.select(
+        "query_id", "embedding", "cells", "part", split("query_id", query_blocks).alias("q")
+    ).withColumn("v", each(vector_blocks))
+    block = ("part", "v", "q")
     partial = left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(_block_hits(k), _HIT_SCHEMA)
     return _merge(partial, k)
 
@@ -371,13 +393,25 @@ def lsh_knn(
     return found.select("uid", distance.alias("distance"), (1 - distance).alias("similarity_score"))
 
 
+def lsh_recall(queries: list[tuple[str, list[float]]], vectors: DataFrame, k: int = 10, **options) -> DataFrame:
+    """Recall of ``lsh_knn`` against the exact search, over a few queries."""
+    hits = [lsh_knn(vectors, v, k, **options).select(F.lit(i).alias("query_id"), "uid") for i, v in queries]
+    found = functools.reduce(DataFrame.unionByName, hits).withColumn("hit", F.lit(1))
+    spark = vectors.sparkSession
+    asked = spark.createDataFrame(queries, "query_id string, embedding array<double>")
+    exact = broadcast_join(asked, vectors, k).select("query_id", "uid")
+    return exact.join(found, ["query_id", "uid"], "left").agg(
+        F.lit(k).alias("k"), F.count(F.lit(1)).alias("expected"), (F.count("hit") / F.count(F.lit(1))).alias("recall")
+    )
+
+
 def recall_report(
     queries: DataFrame, vectors: DataFrame, cells: Cells, k: int, nprobe: int
 ) -> DataFrame:
     """Recall of the approximate search and the share of pairs it looked at."""
     index = build_index(vectors, cells, k)
     summary = summarize(index, cells, k)
-    sizes = _per_cell(summary.size)
+    sizes = _per("cell", summary.size)
     pairs = route(queries, cells, summary, k, nprobe).agg(F.sum(sizes.cast("double")).alias("pairs"))
     exact = knn_join(queries, vectors, k)
     approximate = cell_join(queries, index, cells, k, nprobe, pruned=True)

@@ -554,6 +554,7 @@ ORACLE["v7_search_text"] = over(
     FROM best JOIN mail USING (uid)""",
 )
 ORACLE["v8_recall_check"] = f"SELECT cast(10 AS integer) k, cast({c.PROBES} AS integer) nprobe, true recalls, true prunes"
+ORACLE["v8_lsh_recall_check"] = "SELECT cast(10 AS integer) k, true recalls"
 ORACLE["v8_lsh_check"] = 'SELECT true "unique", true few, true exact'
 ORACLE["v8_ann_cells"] = over(
     VECS,

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from mailsieve.operators import cells, filters, keyword, vectors
+from mailsieve.plans import catalog
 from mailsieve.plans import search as searches
+from mailsieve.sources import views
 
 MAIL = "uid string, subject string, sender string, date timestamp_ntz, body string"
 
@@ -193,6 +195,25 @@ def test_approximate_search(table, query_table):
         cells.sampled_cells(table, 0)
 
 
+def test_recall_of_the_index_that_is_searched(spark):
+    """Against all pairs, for what the query returns and for its report."""
+    folder = "/root/testdata/sf0.01"
+    got = found(catalog.v8_ann_cells(spark, folder).select("query_id", "rank", "uid", "distance"))
+    rows = [(r["uid"], r["embedding"]) for r in views.vectors_view(spark, folder).collect()]
+    want = brute_force(rows, rows, catalog.NEIGHBOURS)
+    pairs = lambda hits: {(h[0], h[2]) for h in hits}
+    assert len(pairs(got) & pairs(want)) >= 0.9 * len(pairs(want))
+    assert catalog.v8_recall_report(spark, folder).first()["recall"] >= 0.9
+    assert catalog.v8_lsh_recall_check(spark, folder).first()["recalls"]
+
+
+def test_a_query_visits_many_cells_in_one_group(table, query_table, points, queries, monkeypatch):
+    monkeypatch.setattr(cells, "CELL_GROUPS", 3)
+    at = cells.sampled_cells(table, 40)
+    got = cells.cell_join(query_table, cells.assign(table, at), at, 7, block_vectors=90, block_queries=20)
+    assert found(got) == brute_force(queries, points, 7)
+
+
 def test_embedding(spark):
     mail = spark.createDataFrame([("1", "a a b"), ("1", "a a b"), ("2", ""), ("3", None)], "uid string, body string")
     old = spark.createDataFrame([("3", [1.0])], "uid string, embedding array<float>")
