@@ -369,13 +369,15 @@ def knn_join(
 ) -> DataFrame:
     """Exact k nearest vectors of every query.
 
-    ``sent`` sends the queries to every task, and refuses tables that are too large
-    for that; ``cells`` divides queries and vectors into cells.
+    ``sent`` is for query sets of a known small size: it sends them to every task, and
+    refuses tables that are too large for that. ``cells`` takes query tables of any size.
     """
     if method == "sent":
         return broadcast_join(queries, vectors, k)
     if method != "cells":
         raise ValueError(f"unknown method: {method}")
+    if vectors.where(F.col("embedding").isNotNull()).isEmpty():
+        return _merge(vectors.sparkSession.createDataFrame([], _HIT_SCHEMA), k)
     cells = kmeans_cells(vectors, n_cells)
     return cell_join(queries, build_index(vectors, cells, k), cells, k, pruned=True)
 
@@ -413,7 +415,7 @@ def recall_report(
     summary = summarize(index, cells, k)
     sizes = _per("cell", summary.size)
     pairs = route(queries, cells, summary, k, nprobe).agg(F.sum(sizes.cast("double")).alias("pairs"))
-    exact = knn_join(queries, vectors, k)
+    exact = cell_join(queries, index, cells, k, pruned=True)
     approximate = cell_join(queries, index, cells, k, nprobe, pruned=True)
     hits = exact.select("query_id", "uid").join(
         approximate.select("query_id", "uid", F.lit(1).alias("hit")), ["query_id", "uid"], "left"

@@ -649,7 +649,7 @@ def _queries(spark, folder):
 @query
 def v7_knn_join(spark, folder):
     vecs = views.vectors_view(spark, folder)
-    return _rounded(cells.knn_join(_queries(spark, folder), vecs, NEIGHBOURS))
+    return _rounded(cells.knn_join(_queries(spark, folder), vecs, NEIGHBOURS, method="cells"))
 
 
 @query

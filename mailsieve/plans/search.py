@@ -155,5 +155,5 @@ def search_many(
 
     Queries are vectors; ``embedded_queries`` makes them of texts.
     """
-    hits = with_mail(knn_join(queries, vectors, k), emails)
+    hits = with_mail(knn_join(queries, vectors, k, method="cells"), emails)
     return _filtered(hits, "full_body", date_after, None, None, None, "body")

@@ -166,6 +166,14 @@ def test_queries_too_large_to_send_are_refused(query_table, table, monkeypatch):
         cells.knn_join(query_table, table, k=3)
 
 
+def test_query_tables_of_any_size_are_answered(spark, emails, index, monkeypatch):
+    monkeypatch.setattr(cells, "MAX_SENT_BYTES", 100)
+    asked = spark.createDataFrame([(f"q{i}", [1.0, i / 50]) for i in range(50)], "query_id string, embedding array<float>")
+    assert searches.search_many(emails, index, asked, k=4).count() == 150  # one vector has no mail
+    assert searches.search_many(emails, index.limit(0), asked, k=1).count() == 0
+    assert catalog.v7_knn_join(spark, "/root/testdata/sf0.001").count() == 500 * catalog.NEIGHBOURS
+
+
 def test_fewer_vectors_than_k(spark, query_table, points):
     few = spark.createDataFrame(points[:4], "uid string, embedding array<float>")
     at = cells.sampled_cells(few, 3)
