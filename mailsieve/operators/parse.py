@@ -29,12 +29,16 @@ def parse_messages(raw: DataFrame) -> DataFrame:
                 "_coding": headers.transfer_encoding(F.col("headers")),
             }
         )
-        .withColumn("_parser", mime.needs_parser(*map(F.col, ("_kind", "_charset", "_coding", "_body"))))
+        .withColumn("_tree", mime.needs_tree(*map(F.col, ("_kind", "_charset", "_coding", "_body"))))
+        .withColumn("_leaves", F.when(F.col("_tree"), mime.leaves(F.col("raw"))))
+        .withColumn("_rare", mime.rare_texts(F.col("_leaves")))
         .withColumn(
             "parts",
-            mime.message_parts(*map(F.col, ("raw", "_kind", "_charset", "_coding", "_body", "_parser"))),
+            F.when(F.col("_tree"), mime.tree_parts(F.col("_leaves"), F.col("_rare"))).otherwise(
+                mime.flat_part(*map(F.col, ("raw", "_kind", "_charset", "_coding", "_body", "_tree")))
+            ),
         )
-        .drop("raw", "text", "_block", "_body", "_kind", "_charset", "_coding", "_parser")
+        .drop("raw", "text", "_block", "_body", "_kind", "_charset", "_coding", "_tree", "_leaves", "_rare")
     )
 
 

@@ -93,6 +93,12 @@ def s2_ingest(spark, folder):
     return ingest(views.raw_mail_view(spark, folder))
 
 
+@query
+def s2_ingest_mime(spark, folder):
+    """Mail of seven MIME shapes, one of them three multiparts deep."""
+    return ingest(views.raw_nested_view(spark, folder))
+
+
 @query
 def s3_emails_scan(spark, folder):
     path = work_folder(spark, "emails")
@@ -222,6 +228,11 @@ def p7_parts(spark, folder):
     return explode_parts(views.raw_mime_view(spark, folder)).drop("utf8_text")
 
 
+@query
+def p7_parts_nested(spark, folder):
+    return explode_parts(views.raw_nested_view(spark, folder)).drop("utf8_text")
+
+
 @query
 def p8_decode(spark, folder):
     damaged = F.concat(

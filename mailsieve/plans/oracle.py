@@ -250,6 +250,34 @@ ORACLE["p7_parts"] = over(
     UNION ALL SELECT uid, 2, CASE shape WHEN 1 THEN 'text/html' ELSE 'text/plain' END, 'utf-8',
       CASE shape WHEN 1 THEN page ELSE 'second part of ' || uid END FROM shaped WHERE shape IN (1, 2)""",
 )
+SEVEN = f"""shaped AS (SELECT *, cast(uid AS bigint) % 7 shape, {PAGE} page FROM mail),
+texts AS (SELECT uid, shape, body, page,
+  CASE shape WHEN 1 THEN 'see the page' WHEN 2 THEN body || E'\\nsecond part of ' || uid WHEN 3 THEN ''
+    WHEN 6 THEN E'see the page\\n' || body ELSE body END plain,
+  CASE WHEN shape IN (1, 3, 6) THEN {html_to_text('page')} ELSE '' END html FROM shaped)"""
+ORACLE["p7_parts_nested"] = over(
+    f"{MAIL}, {SEVEN}",
+    """SELECT uid, unnest(list_transform(parts, lambda p: p.n)) part_no, unnest(list_transform(parts, lambda p: p.k)) content_type,
+      unnest(list_transform(parts, lambda p: p.c)) charset, unnest(list_transform(parts, lambda p: p.t)) AS text
+    FROM (SELECT uid, CASE shape
+      WHEN 1 THEN [{'n': 1, 'k': 'text/plain', 'c': 'utf-8', 't': 'see the page'}, {'n': 2, 'k': 'text/html', 'c': 'utf-8', 't': page}]
+      WHEN 2 THEN [{'n': 1, 'k': 'text/plain', 'c': 'utf-8', 't': body}, {'n': 2, 'k': 'text/plain', 'c': 'utf-8', 't': 'second part of ' || uid}]
+      WHEN 3 THEN [{'n': 0, 'k': 'text/html', 'c': 'utf-8', 't': page}]
+      WHEN 4 THEN [{'n': 0, 'k': 'text/plain', 'c': 'iso-8859-1', 't': body}]
+      WHEN 6 THEN [{'n': 2, 'k': 'text/plain', 'c': 'utf-8', 't': 'see the page'}, {'n': 4, 'k': 'text/html', 'c': 'utf-8', 't': page},
+        {'n': 5, 'k': 'image/png', 'c': 'utf-8', 't': NULL}, {'n': 6, 'k': 'text/plain', 'c': 'utf-8', 't': body}]
+      ELSE [{'n': 0, 'k': 'text/plain', 'c': 'utf-8', 't': body}] END parts FROM texts)""",
+)
+ORACLE["s2_ingest_mime"] = over(
+    f"""{RAW}, {SEVEN},
+-- A header that is Latin-1 loses what is no UTF-8.
+titled AS (SELECT * REPLACE (CASE cast(uid AS bigint) % 7 WHEN 4 THEN regexp_replace(subject, '[^\\x00-\\x7f]', '', 'g') ELSE subject END AS subject)
+  FROM raw),
+clean AS (SELECT uid, uidvalidity, {subject_of('subject')} subject, sender, date, date_header, {clean_body('chosen')} body
+  FROM titled JOIN (SELECT uid, CASE WHEN length({strip('plain')}) > 50 THEN plain WHEN html <> '' THEN html ELSE plain END chosen
+    FROM texts) USING (uid))""",
+    f"""SELECT *, {search_text('subject', 'body')} search_content, {reason('subject', 'body')} reject_reason FROM clean""",
+)
 ORACLE["p8_decode"] = "SELECT doc_id, text || '(' || chr(65533) || '!' AS text FROM documents"
 ORACLE["p10_preview"] = over(MAIL, f"SELECT uid, {preview('body')} body_preview FROM mail")
 LIST = f"""SELECT uid, {preview('subject', 50)} subject, {preview('sender', 30)} sender,

@@ -60,27 +60,32 @@ def raw_mail_view(spark: SparkSession, folder: str) -> DataFrame:
     return raw_of(mail_view(spark, folder))
 
 
-def raw_mime_view(spark: SparkSession, folder: str) -> DataFrame:
-    """The same mail in five MIME shapes, by uid.
+def _multipart(kind: str, mark: Column, *parts: Column) -> Column:
+    """Content header and body of a multipart."""
+    opening, closing = F.concat(F.lit("--"), mark, F.lit("\n")), F.concat(F.lit("\n--"), mark, F.lit("--\n"))
+    pieces = [F.lit(f"Content-Type: multipart/{kind}; boundary=\""), mark, F.lit("\"\n\n")]
+    for number, part in enumerate(parts):
+        pieces += [F.lit("\n") if number else F.lit(""), opening, part]
+    return F.concat(*pieces, closing)
 
-    base64 text, alternative with a short plain part, mixed with two plain
-    parts, HTML only, and quoted bytes that are Latin-1 instead of UTF-8.
-    """
-    boundary = F.concat(F.lit("=_part_"), "uid")
-    opening = F.concat(F.lit("--"), boundary, F.lit("\n"))
-    closing = F.concat(F.lit("\n--"), boundary, F.lit("--\n"))
-    plain_part = F.lit("Content-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n")
-    html_part = F.lit("Content-Type: text/html; charset=UTF-8\n\n")
-    page = F.concat(F.lit("<html><body><h1>Note</h1><p>"), "body", F.lit("</p></body></html>"))
-
-    def multipart(kind: str, *parts: Column) -> Column:
-        pieces = [F.lit(f"Content-Type: multipart/{kind}; boundary=\""), boundary, F.lit("\"\n\n")]
-        for number, part in enumerate(parts):
-            pieces += [F.lit("\n") if number else F.lit(""), opening, part]
-        return F.concat(*pieces, closing)
 
-    shape = F.col("uid").cast("bigint") % 5
-    content = (
+def _plain_part(text: Column) -> Column:
+    return F.concat(F.lit("Content-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), text)
+
+
+def _html_part(text: Column) -> Column:
+    return F.concat(F.lit("Content-Type: text/html; charset=UTF-8\n\n"), text)
+
+
+def _page() -> Column:
+    return F.concat(F.lit("<html><body><h1>Note</h1><p>"), "body", F.lit("</p></body></html>"))
+
+
+def _five_shapes(shape: Column) -> Column:
+    """base64 text, alternative with a short plain part, mixed with two plain
+    parts, HTML only, and quoted bytes that are Latin-1 instead of UTF-8."""
+    mark = F.concat(F.lit("=_part_"), "uid")
+    return (
         F.when(
             shape == 0,
             F.concat(
@@ -88,29 +93,50 @@ def raw_mime_view(spark: SparkSession, folder: str) -> DataFrame:
                 F.base64(F.encode("body", "utf-8")),
             ),
         )
-        .when(
-            shape == 1,
-            multipart(
-                "alternative",
-                F.concat(plain_part, F.lit("see the page")),
-                F.concat(html_part, page),
-            ),
-        )
+        .when(shape == 1, _multipart("alternative", mark, _plain_part(F.lit("see the page")), _html_part(_page())))
         .when(
             shape == 2,
-            multipart(
-                "mixed",
-                F.concat(plain_part, "body"),
-                F.concat(plain_part, F.lit("second part of "), "uid"),
-            ),
+            _multipart("mixed", mark, _plain_part(F.col("body")), _plain_part(F.concat(F.lit("second part of "), "uid"))),
         )
-        .when(shape == 3, F.concat(html_part, page))
-        .otherwise(F.concat(F.lit("Content-Type: text/plain; charset=iso-8859-1\n\n"), "body"))
+        .when(shape == 3, _html_part(_page()))
+        .when(shape == 4, F.concat(F.lit("Content-Type: text/plain; charset=iso-8859-1\n\n"), "body"))
+    )
+
+
+def _as_raw(mail: DataFrame, shape: Column, content: Column) -> DataFrame:
+    whole = F.concat(_headers(), content)
+    encoded = F.when(shape == 4, F.encode(whole, "iso-8859-1")).otherwise(F.encode(whole, "utf-8"))
+    return mail.select("uid", "uidvalidity", encoded.alias("raw"))
+
+
+def raw_mime_view(spark: SparkSession, folder: str) -> DataFrame:
+    """The same mail in five MIME shapes, by uid."""
+    shape = F.col("uid").cast("bigint") % 5
+    return _as_raw(mail_view(spark, folder), shape, _five_shapes(shape))
+
+
+def _quoted_printable(text: Column) -> Column:
+    """Every byte escaped, 24 of them a line."""
+    escaped = F.regexp_replace(F.hex(F.encode(text, "utf-8")), "(..)", "=$1")
+    return F.regexp_replace(escaped, "((?:=..){24})", "$1=\n")
+
+
+def raw_nested_view(spark: SparkSession, folder: str) -> DataFrame:
+    """The same mail in seven shapes: the five, quoted-printable text, and three
+    multiparts inside each other with a quoted-printable part after them."""
+    shape = F.col("uid").cast("bigint") % 7
+    quoted = F.concat(
+        F.lit("Content-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: quoted-printable\n\n"),
+        _quoted_printable(F.col("body")),
+    )
+    # The marks begin alike, as those of real programs do.
+    marks = [F.concat(F.lit("=_" + "part_" * n), "uid") for n in (1, 2, 3)]
+    innermost = _multipart("related", marks[2], _html_part(_page()), F.lit("Content-Type: image/png\nContent-Transfer-Encoding: base64\n\nAAAA"))
+    middle = _multipart("alternative", marks[1], _plain_part(F.lit("see the page")), innermost)
+    content = F.coalesce(
+        _five_shapes(shape), F.when(shape == 5, quoted).otherwise(_multipart("mixed", marks[0], middle, quoted))
     )
-    encoded = F.when(
-        shape == 4, F.encode(F.concat(_headers(), content), "iso-8859-1")
-    ).otherwise(F.encode(F.concat(_headers(), content), "utf-8"))
-    return mail_view(spark, folder).select("uid", "uidvalidity", encoded.alias("raw"))
+    return _as_raw(mail_view(spark, folder), shape, content)
 
 
 def thread_view(spark: SparkSession, folder: str) -> DataFrame:
