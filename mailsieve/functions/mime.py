@@ -8,6 +8,7 @@ other message sends a null there.
 
 import base64
 import binascii
+import json
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -44,8 +45,9 @@ def _replacements(name: str) -> tuple[str, str]:
 
 
 def _by_charset(name: Column, which: int) -> Column:
-    entries = [F.lit(x) for charset in SINGLE_BYTE for x in (charset, _replacements(charset)[which])]
-    return F.try_element_at(F.create_map(*entries), name)
+    """Of the charset called ``name``; the table is one constant, which the planner folds."""
+    table = json.dumps({charset: _replacements(charset)[which] for charset in SINGLE_BYTE})
+    return F.try_element_at(F.from_json(F.lit(table), "map<string,string>"), name)
 
 
 def decode_lossy(c: Column) -> Column:

@@ -1,16 +1,56 @@
 """Raw messages -> cleaned, validated mail."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsieve.functions import headers, mime, quality, text
 from mailsieve.functions.dates import parse_mail_date
 from mailsieve.operators.parse import parse_messages
-from mailsieve.operators.stage import settle
+from mailsieve.operators.stage import built, settle
 
 UNREADABLE = "unreadable"
 
 
+def _texts() -> dict[str, Column]:
+    return {
+        "_unreadable": mime.unreadable(F.col("parts")),
+        "_plain": mime.plain_text(F.col("parts")),
+        "_html": mime.html_text(F.col("parts")),
+    }
+
+
+def _chosen() -> list[Column]:
+    unreadable = F.col("_unreadable")
+    subject = text.clean_subject(headers.header(F.col("headers"), "Subject"))
+    return [
+        F.when(unreadable, "").otherwise(subject).alias("subject"),
+        F.when(unreadable, "").otherwise(text.clean_body(F.col("_chosen"))).alias("body"),
+    ]
+
+
+def _reason() -> Column:
+    return F.when(F.col("_unreadable"), UNREADABLE).otherwise(
+        quality.reject_reason(F.col("subject"), F.col("body"))
+    )
+
+
+def _record() -> list[Column]:
+    date_header = headers.header(F.col("headers"), "Date")
+    return [
+        F.col("subject"),
+        headers.header(F.col("headers"), "From").alias("sender"),
+        parse_mail_date(date_header).alias("date"),
+        date_header.alias("date_header"),
+        F.col("body"),
+        text.search_text(F.col("subject"), F.col("body")).alias("search_content"),
+        F.col("reject_reason"),
+    ]
+
+
+def _choice() -> Column:
+    return mime.choose_body(F.col("_plain"), F.col("_html"))
+
+
 def ingest(raw: DataFrame) -> DataFrame:
     """Parse, clean and check every message; nothing is dropped here.
 
@@ -18,46 +58,14 @@ def ingest(raw: DataFrame) -> DataFrame:
     by. No shuffle: each message is read and decided on in place.
     """
     order = [c for c in raw.columns if c == "seq"]
-    subject = text.clean_subject(headers.header(F.col("headers"), "Subject"))
     chosen = (
         parse_messages(raw)
-        .withColumns(
-            {
-                "_unreadable": mime.unreadable(F.col("parts")),
-                "_plain": mime.plain_text(F.col("parts")),
-                "_html": mime.html_text(F.col("parts")),
-            }
-        )
-        .withColumn("_chosen", mime.choose_body(F.col("_plain"), F.col("_html")))
-        .select(
-            "uid",
-            "uidvalidity",
-            *order,
-            "headers",
-            "_unreadable",
-            F.when(F.col("_unreadable"), "").otherwise(subject).alias("subject"),
-            F.when(F.col("_unreadable"), "").otherwise(text.clean_body(F.col("_chosen"))).alias("body"),
-        )
-    )
-    decided = chosen.withColumn(
-        "reject_reason",
-        F.when(F.col("_unreadable"), UNREADABLE).otherwise(
-            quality.reject_reason(F.col("subject"), F.col("body"))
-        ),
-    )
-    date_header = headers.header(F.col("headers"), "Date")
-    return settle(decided.drop("_unreadable")).select(
-        "uid",
-        "uidvalidity",
-        "subject",
-        headers.header(F.col("headers"), "From").alias("sender"),
-        parse_mail_date(date_header).alias("date"),
-        date_header.alias("date_header"),
-        "body",
-        text.search_text(F.col("subject"), F.col("body")).alias("search_content"),
-        "reject_reason",
-        *order,
+        .withColumns(built(raw, _texts))
+        .withColumn("_chosen", built(raw, _choice))
+        .select("uid", "uidvalidity", *order, "headers", "_unreadable", *built(raw, _chosen))
     )
+    decided = chosen.withColumn("reject_reason", built(raw, _reason))
+    return settle(decided.drop("_unreadable")).select("uid", "uidvalidity", *built(raw, _record), *order)
 
 
 def accepted(ingested: DataFrame) -> DataFrame:

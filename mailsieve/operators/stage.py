@@ -1,8 +1,26 @@
 """Fixed points in a chain of projections."""
 
+from collections.abc import Callable
+from typing import TypeVar
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+_BUILT: dict[tuple[str, Callable], object] = {}
+
+
+def built(df: DataFrame, build: Callable[[], T]) -> T:
+    """What ``build`` returns, made once per application.
+
+    For long expressions over columns that are only named. A stream makes the same
+    ones for every micro-batch, and making them can take longer than running them.
+    """
+    key = df.sparkSession.sparkContext.applicationId, build
+    if key not in _BUILT:
+        _BUILT[key] = build()
+    return _BUILT[key]
+
 
 def settle(df: DataFrame) -> DataFrame:
     """Compute the columns of ``df`` at this point, once per row.

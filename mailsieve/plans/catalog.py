@@ -12,9 +12,9 @@ from mailsieve.operators.ingest import accepted, ingest, ingest_counts, reject_c
 from mailsieve.operators.parse import explode_parts, parse_messages, with_headers
 from mailsieve.operators.status import index_drift, status, status_rows
 from mailsieve.plans import search as searches
-from mailsieve.plans.sync import State, run_sync
+from mailsieve.plans.sync import State, read_versioned, rebuild_vectors, run_sync, sync_changes
 from mailsieve.session import work_folder
-from mailsieve.sources import tables, views
+from mailsieve.sources import tables, versions, views
 from mailsieve.streaming import ingest as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -181,6 +181,22 @@ def s7_sync_entries(spark, folder):
     return _synced(spark, folder, "7").kv
 
 
+@query
+def s7_sync_changes(spark, folder):
+    """Two loads into a versioned state, the second of changed and of new messages.
+
+    A message that changed keeps the vector of its first version.
+    """
+    state, embedder = work_folder(spark, "versions"), vectors.hashing_embedder(DIM)
+    mail, part = _mail(spark, folder), F.col("uid").cast("bigint") % 4
+    earlier = mail.where(part < 3).withColumn("body", F.concat(F.lit("zzzz an earlier version of\n"), "body"))
+    for n, load in enumerate((earlier, mail.where(part >= 2))):
+        sync_changes(spark, views.raw_of(load).withColumn("seq", F.lit(n)), state, FETCHED_AT, embedder)
+    new = read_versioned(spark, state)
+    own = new.emails.withColumn("own", embedder(F.col("body"))).join(new.vectors, "uid", "left")
+    return own.select("uid", "subject", "sender", "date", "body", (F.col("own") == F.col("embedding")).alias("own_vector"))
+
+
 # --- headers and parts -------------------------------------------------------
 
 
@@ -416,6 +432,32 @@ def c6_before(spark, folder):
     return filters.date_before(_mail(spark, folder), DATE_BEFORE).select("uid", "date")
 
 
+def _stored_by_month(spark, folder):
+    path = work_folder(spark, "months")
+    stored = _mail(spark, folder).withColumns({"date_header": F.lit(""), "search_content": F.lit("")})
+    tables.write_emails_by_month(stored, path)
+    return path
+
+
+@query
+def c5_after_stored(spark, folder):
+    """From a table laid out by month, of which only the months that matter are read."""
+    return tables.read_emails_by_month(spark, _stored_by_month(spark, folder), after=DATE_AFTER).select("uid", "date")
+
+
+@query
+def c6_between_stored(spark, folder):
+    path = _stored_by_month(spark, folder)
+    return tables.read_emails_by_month(spark, path, DATE_AFTER, DATE_BEFORE).select("uid", "subject", "date")
+
+
+@query
+def c12_get_stored(spark, folder):
+    """By the sorted uids and Bloom filters of a stored table."""
+    stored = tables.read_emails_by_month(spark, _stored_by_month(spark, folder))
+    return listing.get_email(stored, "7").select("uid", "uidvalidity", "subject", "sender", "date", "body")
+
+
 @query
 def c7_sender(spark, folder):
     return filters.sender_contains(_mail(spark, folder), SENDER).select("uid", "sender")
@@ -578,6 +620,24 @@ def m6_epoch_reset(spark, folder):
     return store.current_epoch(_two_epochs(spark, folder)).select("uid", "uidvalidity")
 
 
+@query
+def m7_clear_index(spark, folder):
+    """The vectors of a stored state are cleared, and built again from its mail."""
+    state = work_folder(spark, "versions")
+    stored = _mail(spark, folder).withColumns({"date_header": F.lit(""), "search_content": F.lit("")})
+    tables_ = {"emails": stored, "vectors": views.vectors_view(spark, folder)}
+    versions.commit(spark, state, versions.Manifest(), tables_, {})
+    rebuild_vectors(spark, state, vectors.hashing_embedder(DIM))
+    cleared = versions.read_table(spark, versions.read_manifest(spark, state, 2), "vectors")
+    built = versions.read_table(spark, versions.read_manifest(spark, state), "vectors")
+    return (
+        built.select("uid", F.posexplode("embedding").alias("bucket", "weight"))
+        .where(F.col("weight") != 0)
+        .withColumn("weight", F.col("weight").cast("double"))
+        .withColumn("cleared", cleared.agg(F.count(F.lit(1))).scalar())
+    )
+
+
 # --- vectors and search ------------------------------------------------------
 
 
@@ -796,6 +856,36 @@ def r1_stream_ingest(spark, folder):
     return streams.current_emails(spark, target)
 
 
+@query
+def r1_stream_state(spark, folder):
+    """Mail, vectors and entries of a stream, one commit a micro-batch."""
+    target, embedder = work_folder(spark, "stream"), vectors.hashing_embedder(DIM)
+    raw = views.raw_of(views.mail_of(_document_stream(spark, folder))).withColumn("seq", F.col("uid").cast("bigint"))
+    streams.stream_state(raw, target, FETCHED_AT, embedder).awaitTermination()
+    new = read_versioned(spark, f"{target}/state")
+    own = new.emails.withColumn("own", embedder(F.col("body"))).join(new.vectors, "uid", "left")
+    return own.select(
+        "uid", "uidvalidity", "subject", "sender", "date", "body", (F.col("own") == F.col("embedding")).alias("own_vector"),
+        store.kv_get(new.kv, store.EPOCH_KEY).scalar().alias("epoch"),
+        store.kv_get(new.kv, store.LAST_FETCH_KEY).scalar().alias("last_fetch"),
+    )
+
+
+@query
+def r3_stream_epoch(spark, folder):
+    """Three loads, in which English mailboxes get a lower epoch and then the first one again."""
+    landing, target = work_folder(spark, "landing"), work_folder(spark, "stream")
+    part = F.col("uid").cast("bigint") % 3
+    mail = _mail(spark, folder).withColumns(
+        {"mailbox": F.col("sender"), "seq": F.lit(0).cast("bigint"), "part": part}
+    ).withColumn("uidvalidity", F.when((part == 1) & F.col("sender").endswith("@en.example.com"), 5).otherwise(7).cast("bigint"))
+    for n in range(3):
+        load = views.raw_of(mail.where(F.col("part") == n), keep=("mailbox", "seq"))
+        load.write.mode("append").parquet(landing)
+        streams.stream_turns(streams.read_stream(spark, landing, load.schema), target).awaitTermination()
+    return streams.turn_emails(spark, target).select("mailbox", "uid", "uidvalidity", "subject", "body")
+
+
 @query
 def r2_stream_dedup(spark, folder):
     path = f"{folder}/events.parquet"

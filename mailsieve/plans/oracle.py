@@ -205,6 +205,29 @@ ORACLE["s7_sync_entries"] = over(
     UNION ALL SELECT 'last_fetch', '{c.FETCHED_AT}' WHERE EXISTS (SELECT 1 FROM accepted)""",
 )
 
+ORACLE["s7_sync_changes"] = over(
+    RAW + f""",
+loads AS (SELECT * EXCLUDE (raw), 2 AS load FROM raw WHERE cast(uid AS bigint) % 4 >= 2
+  UNION ALL SELECT * EXCLUDE (raw) REPLACE ('zzzz an earlier version of' || chr(10) || body AS body), 1 FROM raw
+    WHERE cast(uid AS bigint) % 4 < 3),
+clean AS (SELECT uid, load, {subject_of('subject')} subject, sender, date, {clean_body('body')} body FROM loads),
+kept AS (SELECT *, count(*) OVER (PARTITION BY uid) n FROM clean WHERE {reason('subject', 'body')} IS NULL)""",
+    "SELECT uid, subject, sender, date, body, n = 1 own_vector FROM kept QUALIFY load = max(load) OVER (PARTITION BY uid)",
+)
+ORACLE["r1_stream_state"] = over(
+    CLEAN,
+    f"""SELECT uid, uidvalidity, subject, sender, date, body, true own_vector, '1' epoch, '{c.FETCHED_AT}' last_fetch
+    FROM ingested WHERE reject_reason IS NULL""",
+)
+ORACLE["r3_stream_epoch"] = over(
+    CLEAN + """,
+parts AS (SELECT *, cast(uid AS bigint) % 3 part, sender LIKE '%@en.example.com' en FROM ingested),
+box AS (SELECT sender, bool_or(part = 1) lower, bool_or(part = 2) returned FROM parts GROUP BY sender)""",
+    """SELECT sender mailbox, uid, cast(CASE WHEN en AND part = 1 THEN 5 ELSE 7 END AS bigint) uidvalidity, subject, body
+    FROM parts JOIN box USING (sender) WHERE reject_reason IS NULL
+    AND CASE WHEN NOT (en AND lower) THEN true WHEN returned THEN part = 2 ELSE part = 1 END""",
+)
+
 # --- headers and parts -------------------------------------------------------
 
 
@@ -394,6 +417,11 @@ ORACLE["c4_valid_address"] = over(
 )
 ORACLE["c5_after"] = over(MAIL, f"SELECT uid, date FROM mail WHERE date >= timestamp '{c.DATE_AFTER}'")
 ORACLE["c6_before"] = over(MAIL, f"SELECT uid, date FROM mail WHERE date <= timestamp '{c.DATE_BEFORE}'")
+ORACLE["c5_after_stored"] = ORACLE["c5_after"]
+ORACLE["c6_between_stored"] = over(
+    MAIL,
+    f"SELECT uid, subject, date FROM mail WHERE date >= timestamp '{c.DATE_AFTER}' AND date <= timestamp '{c.DATE_BEFORE}'",
+)
 ORACLE["c7_sender"] = over(MAIL, f"SELECT uid, sender FROM mail WHERE sender ILIKE '%{c.SENDER}%'")
 ORACLE["c8_regex_preview"] = over(MAIL, f"SELECT uid FROM mail WHERE regexp_matches({preview('body')}, '{c.REGEX}')")
 ORACLE["c9_regex_body"] = over(MAIL, f"SELECT uid FROM mail WHERE regexp_matches(body, '{c.REGEX}')")
@@ -414,6 +442,7 @@ def relevance(words: str) -> str:
 
 ORACLE["c10_keywords"] = over(MAIL, f"SELECT uid FROM mail WHERE {keyword_match(c.WILDCARD_KEYWORDS)}")
 ORACLE["c12_get_email"] = over(MAIL, "SELECT * FROM mail WHERE uid = '7'")
+ORACLE["c12_get_stored"] = ORACLE["c12_get_email"]
 ORACLE["c14_uid_in"] = over(
     MAIL, "SELECT uid, subject FROM mail WHERE uid IN (SELECT cast(vec_id AS varchar) FROM embeddings)"
 )
@@ -495,6 +524,9 @@ ORACLE["v1_embed_new"] = over(
       FROM tokens WHERE t <> '' GROUP BY ALL)
     SELECT uid, bucket, cast(cast(n / sqrt(sum(n * n) OVER (PARTITION BY uid)) AS float) AS double) weight FROM counts""",
 ).replace("\n,", ",", 1)
+ORACLE["m7_clear_index"] = ORACLE["v1_embed_new"].replace(
+    "WHERE uid NOT IN (SELECT cast(vec_id AS varchar) FROM embeddings)", ""
+).replace("weight FROM counts", "weight, cast(0 AS bigint) cleared FROM counts")
 ORACLE["v2_normalize"] = """
 WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: cast(x * (label + 2) AS float)) v FROM embeddings),
 n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE))) n FROM s)

@@ -10,6 +10,7 @@ from mailsieve.operators.store import EPOCH_KEY, LAST_FETCH_KEY, epoch_changed,
 from mailsieve.operators.vectors import Embedder, embed_new, hashing_embedder
 from mailsieve.schema import LOAD_SCHEMA
 from mailsieve.session import remove, work_folder
+from mailsieve.sources import versions
 from mailsieve.sources.tables import (
     read_emails,
     read_kv,
@@ -90,3 +91,63 @@ def run_sync(
     write_kv(new.kv, f"{folder}/kv")
     remove(spark, staged)
     return read_state(spark, folder)
+
+
+def read_versioned(spark: SparkSession, folder: str, version: int | None = None) -> State:
+    """The state of a versioned folder; the newest version by default."""
+    manifest = versions.read_manifest(spark, folder, version)
+    return State(
+        versions.read_table(spark, manifest, "emails"),
+        versions.read_table(spark, manifest, "vectors"),
+        versions.entries(spark, manifest),
+    )
+
+
+def sync_changes(
+    spark: SparkSession, raw: DataFrame, folder: str, now: str, embedder: Embedder | None = None,
+    batch: tuple[str, int] | None = None,
+) -> versions.Manifest:
+    """Sync a versioned folder: the same state as ``run_sync``, but only changes are written.
+
+    ``batch`` names a stream and the number of its batch. A batch that was committed
+    is not applied again, and mail, vectors and entries of one become visible at once.
+    """
+    parent = versions.read_manifest(spark, folder)
+    if batch is not None and parent.batches.get(batch[0], -1) >= batch[1]:
+        return parent
+    staged = work_folder(spark, "sync")
+    accepted(ingest(_ordered(raw))).write.parquet(staged)
+    valid = read_table(spark, staged, LOAD_SCHEMA)
+    loaded = raw.agg(F.max("uidvalidity")).first()[0]
+    known = parent.entries.get(EPOCH_KEY, "")
+    stored = int(known) if known.removeprefix("-").isdigit() else None
+    reset = tuple(versions.SCHEMAS) if None not in (loaded, stored) and loaded != stored else ()
+    current = valid if loaded is None else valid.where(F.col("uidvalidity") == loaded)
+    newest = latest(current, "uid", ["seq"]).drop("seq")
+
+    # Only buckets that the load touches are asked for vectors.
+    kept = versions.read_table(spark, versions.Manifest(), "vectors")
+    if not reset:
+        bucket = versions.bucket_of(F.col("uid"), parent.buckets)
+        touched = [r[0] for r in current.select(bucket).distinct().collect()]
+        kept = versions.read_table(spark, parent, "vectors", touched)
+    added = embed_new(newest, kept, embedder or hashing_embedder())
+    entries = dict(parent.entries)
+    epoch = loaded if loaded is not None else stored
+    entries.pop(EPOCH_KEY, None)
+    if epoch is not None:
+        entries[EPOCH_KEY] = str(epoch)
+    if not current.isEmpty():
+        entries[LAST_FETCH_KEY] = now
+    done = versions.commit(spark, folder, parent, {"emails": newest, "vectors": added}, entries, reset, batch)
+    remove(spark, staged)
+    return done
+
+
+def rebuild_vectors(spark: SparkSession, folder: str, embedder: Embedder | None = None) -> versions.Manifest:
+    """Clear the stored vectors and embed the stored mail anew, as two versions."""
+    cleared = versions.cleared(spark, folder, ["vectors"])
+    emails = versions.read_table(spark, cleared, "emails")
+    none = versions.read_table(spark, cleared, "vectors")
+    added = embed_new(emails, none, embedder or hashing_embedder())
+    return versions.commit(spark, folder, cleared, {"vectors": added}, cleared.entries)

@@ -1,10 +1,11 @@
 """Stored tables: raw mail, emails, key/value entries and vectors."""
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mailsieve.operators.filters import date_after, date_before, day_start
 from mailsieve.schema import EMAILS_SCHEMA, KV_SCHEMA, RAW_SCHEMA, VECTORS_SCHEMA
 
 
@@ -60,6 +61,36 @@ def write_emails(emails: DataFrame, path: str, mode: str = "errorifexists") -> N
     emails.write.mode(mode).option("parquet.bloom.filter.enabled#uid", "true").parquet(path)
 
 
+def write_emails_by_month(emails: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Emails in one folder per month of their date, sorted by uid inside each file.
+
+    A search by date opens the folders of its months only, and a lookup the row groups
+    whose range and Bloom filter of uids admit it. Mail without a date has a folder
+    of its own. Big months are split among files, small ones share a task.
+    """
+    laid = emails.withColumn("month", F.date_format("date", "yyyy-MM")).hint("rebalance", "month")
+    laid.sortWithinPartitions("month", "uid").write.mode(mode).option(
+        "parquet.bloom.filter.enabled#uid", "true"
+    ).partitionBy("month").parquet(path)
+
+
+def read_emails_by_month(
+    spark: SparkSession, path: str, after: str | None = None, before: str | None = None
+) -> DataFrame:
+    """The emails of a table laid out by month; with bounds, those on or after and before
+    or at them, which are ISO dates or times."""
+    stored = read_table(spark, path, T.StructType([*EMAILS_SCHEMA.fields, T.StructField("month", T.StringType())]))
+    if after is not None:
+        stored = date_after(stored.where(F.col("month") >= _month(after)), after)
+    if before is not None:
+        stored = date_before(stored.where(F.col("month") <= _month(before)), before)
+    return stored.drop("month")
+
+
+def _month(bound: str) -> Column:
+    return F.date_format(day_start(bound), "yyyy-MM")
+
+
 def write_kv(kv: DataFrame, path: str, mode: str = "errorifexists") -> None:
     kv.coalesce(1).write.mode(mode).parquet(path)
 
