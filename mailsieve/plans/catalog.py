@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailsieve.functions import dates, display, entities, headers, markup, mime, quality, reply, text
-from mailsieve.operators import cells, filters, keyword, listing, store, vectors
+from mailsieve.operators import cells, filters, keyword, listing, postings, store, vectors
 from mailsieve.operators.ingest import accepted, ingest, ingest_counts, reject_counts
 from mailsieve.operators.parse import explode_parts, parse_messages, with_headers
 from mailsieve.operators.status import index_drift, status, status_rows
@@ -27,6 +27,7 @@ QUERY_VECTOR = [math.cos(i) / _NORM for i in range(DIM)]
 KEYWORDS = "the on"
 QUERY_TEXT = "the onthe and of with"
 WILDCARD_KEYWORDS = "th_n %ing the the"
+RARE_KEYWORDS = "licensed vers_on%2 the"
 REGEX = r"\d{6}|[aeiou]{4}"
 DATE_AFTER = "2024-01-10"
 DATE_BEFORE = "2024-02-01"
@@ -479,6 +480,16 @@ def c10_keywords(spark, folder):
     return _mail(spark, folder).where(match).select("uid")
 
 
+def _posting_index(spark, folder):
+    return postings.build_index(_mail(spark, folder), work_folder(spark, "postings"))
+
+
+@query
+def c10_keywords_indexed(spark, folder):
+    """By the trigrams of the words' literal pieces."""
+    return postings.keyword_rows(spark, _posting_index(spark, folder), WILDCARD_KEYWORDS).select("uid")
+
+
 @query
 def c12_get_email(spark, folder):
     return listing.get_email(_mail(spark, folder), "7")
@@ -822,6 +833,14 @@ def k1_keyword(spark, folder):
     return keyword.keyword_search(_mail(spark, folder), KEYWORDS, date_after=DATE_AFTER, regex=REGEX, limit=HITS)
 
 
+@query
+def k1_keyword_indexed(spark, folder):
+    """Words as long as a trigram and longer, among them one with a wildcard."""
+    index = _posting_index(spark, folder)
+    mail = postings.narrowed(spark, index, filters.keywords(RARE_KEYWORDS))
+    return keyword.keyword_search(mail, RARE_KEYWORDS, date_after=DATE_AFTER, limit=HITS)
+
+
 @query
 def k2_hybrid_semantic(spark, folder):
     return _rounded(

@@ -441,6 +441,7 @@ def relevance(words: str) -> str:
 
 
 ORACLE["c10_keywords"] = over(MAIL, f"SELECT uid FROM mail WHERE {keyword_match(c.WILDCARD_KEYWORDS)}")
+ORACLE["c10_keywords_indexed"] = ORACLE["c10_keywords"]
 ORACLE["c12_get_email"] = over(MAIL, "SELECT * FROM mail WHERE uid = '7'")
 ORACLE["c12_get_stored"] = ORACLE["c12_get_email"]
 ORACLE["c14_uid_in"] = over(
@@ -636,6 +637,12 @@ ORACLE["k1_keyword"] = over(
     f"""{MAIL}, {BY_WORD} AND date >= timestamp '{c.DATE_AFTER}' ORDER BY date DESC, uid LIMIT {c.HITS})""",
     f"SELECT * FROM word WHERE regexp_matches(full_body, '{c.REGEX}')",
 )
+ORACLE["k1_keyword_indexed"] = over(
+    MAIL,
+    f"""SELECT uid, subject, sender, date, {preview('body')} body_preview, body full_body,
+    {relevance(c.RARE_KEYWORDS)} similarity_score FROM mail WHERE {keyword_match(c.RARE_KEYWORDS)}
+    AND date >= timestamp '{c.DATE_AFTER}' ORDER BY date DESC, uid LIMIT {c.HITS}""",
+)
 HYBRID = f"{MAIL}, {VECS}, {NEAR}, {nearest(c.HITS)}"
 SEMANTIC = "semantic AS (SELECT {columns} FROM hits JOIN mail USING (uid) WHERE sender ILIKE '%{sender}%')"
 for name, sender in (("k2_hybrid_semantic", c.SENDER), ("k2_hybrid_fallback", "nobody")):
