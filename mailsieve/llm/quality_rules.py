@@ -31,6 +31,8 @@ from mailsieve.functions.patterns import let
 from mailsieve.llm.common import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: A word without a letter or digit.
+LOOSE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}\p{N}]++(?![^\x20\x09-\x0D])"
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -66,10 +68,6 @@ def _without(text: Column, pattern: str) -> Column:
     return F.char_length(F.regexp_replace(text, pattern, "")).cast("bigint")
 
 
-def _dropped(text: Column, characters: str) -> Column:
-    return F.char_length(F.translate(text, characters, "")).cast("bigint")
-
-
 def _with_equal_neighbour(sorted_: Column, same) -> Column:
     """The rows of a sorted array that are the ``same`` as the one before or after them."""
     return let(
@@ -92,22 +90,22 @@ def _window_hashes(words: Column, hash_of) -> Column:
 
 def repeated_words(words: Column, hash_of=F.xxhash64) -> Column:
     """How many of the words lie in a window that the text holds twice or more."""
+    none = F.lit(0).cast("bigint")
 
-    def window(at: Column) -> list[Column]:
-        return [F.get(words, at + k) for k in range(WINDOW)]
-
-    def exact(hashes: Column) -> Column:
-        # High bits of the hash and the position in one number: it sorts fast.
+    def positions(hashes: Column) -> Column:
+        """Where windows begin whose hash another has: its high bits and the position in one number, as that sorts fast."""
         packed = F.sort_array(F.transform(hashes, lambda h, i: h.bitwiseAND(~_PLACES).bitwiseOR(i.cast("bigint"))))
-        shared = _with_equal_neighbour(packed, lambda a, b: a.bitwiseAND(~_PLACES) == b.bitwiseAND(~_PLACES))
+        shared = _with_equal_neighbour(packed, lambda a, b: a.bitwiseXOR(b).between(0, _PLACES))
+        return F.transform(shared, lambda x: x.bitwiseAND(_PLACES).cast("int"))
+
+    def exact(hashes: Column, held: Column) -> Column:
         again = F.transform(
-            F.transform(shared, lambda x: x.bitwiseAND(_PLACES).cast("int")),
-            lambda i: F.struct(F.concat_ws(" ", *window(i)).alias("words"), i.alias("at")),
+            positions(hashes),
+            lambda i: F.struct(F.array_join(F.slice(held, i + 1, WINDOW), " ").alias("words"), i.alias("at")),
         )
         equal = _with_equal_neighbour(F.sort_array(again), lambda a, b: a["words"] == b["words"])
-        at = F.sort_array(F.transform(equal, lambda x: x["at"]))
         return F.aggregate(
-            at,
+            F.sort_array(F.transform(equal, lambda x: x["at"])),
             F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("total")),
             lambda a, i: F.struct(
                 (i + WINDOW).alias("end"), (a["total"] + i + WINDOW - F.greatest(a["end"], i)).alias("total")
@@ -115,12 +113,14 @@ def repeated_words(words: Column, hash_of=F.xxhash64) -> Column:
             lambda a: a["total"],
         )
 
-    none = F.lit(0).cast("bigint")
-    counted = let(
-        _window_hashes(words, hash_of),
-        lambda hashes: F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), exact(hashes)).otherwise(none),
-    )
-    return F.when(F.size(words) > WINDOW, counted).otherwise(none)
+    def counted(held: Column) -> Column:
+        return let(
+            _window_hashes(held, hash_of),
+            lambda hashes: F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), exact(hashes, held)).otherwise(none),
+        )
+
+    # The copy is an array of objects, of which a slice costs what it holds.
+    return F.when(F.size(words) > WINDOW, let(F.transform(words, lambda w: w), counted)).otherwise(none)
 
 
 def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of=F.xxhash64) -> DataFrame:
@@ -129,17 +129,17 @@ def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", has
     rows = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
     rows = rows.withColumn("lines", F.filter(F.split("text", "\n"), lambda l: F.translate(l, BLANKS, "") != ""))
-    size = F.char_length("text").cast("bigint")
     return rows.select(
-        id_col, F.size("words").cast("bigint").alias("n_words"), _dropped(text, BLANKS).alias("word_chars"),
-        (size - _dropped(text, SYMBOLS)).alias("n_symbols"), F.size("lines").cast("bigint").alias("n_lines"),
+        id_col, F.size("words").cast("bigint").alias("n_words"),
+        F.char_length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
+        _without(text, f"[^{SYMBOLS}]++").alias("n_symbols"), F.size("lines").cast("bigint").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         repeated_words(F.col("words"), hash_of).alias("n_repeat_words"),
-        _without(text, r"[^\p{L}]+").alias("n_letters"), _without(text, r"[^\p{Lu}]+").alias("n_upper"),
-        (size - _dropped(text, "!")).alias("n_exclaimed"), (size - _dropped(text, ".!?")).alias("n_ends"),
+        _without(text, r"[^\p{L}]++").alias("n_letters"), _without(text, r"[^\p{Lu}]++").alias("n_upper"),
+        _without(text, "[^!]++").alias("n_exclaimed"), _without(text, "[^.!?]++").alias("n_ends"),
         # Words that repeat the one before; words of marks alone.
         F.size(F.filter("words", lambda w, i: (i > 0) & (w == F.get("words", i - 1)))).cast("bigint").alias("n_stutter"),
-        F.size(F.filter("words", lambda w: ~F.rlike(w, F.lit(r"[\p{L}\p{N}]")))).cast("bigint").alias("n_loose"),
+        F.regexp_count("text", F.lit(LOOSE)).cast("bigint").alias("n_loose"),
     )
 
 
