@@ -1,23 +1,27 @@
 """Operator 2, line dedup: by shared runs of lines, or by content-defined chunks.
 
-``run_dedup`` hashes every two lines that follow each other. A run of ``MIN_LINES``
-or more lines that stands at an earlier place too, by smallest id and then position,
-is made of just such pairs, so the lines of the pairs that stand earlier are all
-lines of all shared runs, wherever a run begins or ends. A line's first place of all
-always stays. Two blank lines make no pair; a pair that overlaps its own first place
+``run_dedup``, the query's and the pipeline's way, hashes every two lines that follow
+each other; blank lines between them belong to the pair. A run with ``MIN_LINES`` or
+more lines that aren't blank, which stands at an earlier place too, by smallest id and
+then position, is made of just such pairs, so their lines are all lines of all shared
+runs, from the first line of a run that isn't blank to its last, wherever it begins or
+ends. A line's first place of all always stays, and so does a shared line whose
+neighbours differ, also between blank lines. A pair that overlaps its own first place
 (three like lines) isn't a copy of it; of a text that is left with blank lines only
 nothing stays.
 
-``line_dedup`` is what the pipeline runs. A text is a sequence of lines. Each line is hashed, a rolling hash runs over the
-hashes of the last ``WINDOW`` lines, and a chunk ends where that hash falls on
+``line_dedup`` cuts by content-defined chunks. Each line is hashed, a rolling hash runs
+over the hashes of the last ``WINDOW`` lines, and a chunk ends where that hash falls on
 one of ``SPREAD`` values. Boundaries thus depend on nearby lines only: lines put
 in or taken out elsewhere don't shift them. A chunk of more than one line that
 stands somewhere else too is removed everywhere but at its first place. Runs that
-hold no two chunk ends stay.
+hold no two chunk ends stay, which are most of the short ones.
 
-In both, parts (pairs or chunks) are grouped by 128-bit hash *and* text, so bytes are compared inside every
-hash group, and a part that very many texts hold is one row per task before the
-shuffle. Places to remove return to their texts by id.
+In both, parts (pairs or chunks) are grouped by 128-bit hash *and* text, so bytes are
+compared inside every hash group, also against parts that occur once, and a part that
+very many texts hold is one row per task before the shuffle. Where a hash belongs to
+one text, places find their group by hash alone. Places to remove return to their
+texts by id.
 
 Parts of one line are never removed, nor blank ones. Defined results: null texts
 stay null; a row is known by id and content, so rows that repeat an id and its
@@ -42,6 +46,10 @@ FACTOR = 0x9E3779B97F4A7C15
 MASK = 2**64 - 1
 
 
+def content_hash(part: str) -> bytes:
+    return xxhash.xxh3_128_digest(part)
+
+
 def chunk_ends(lines: list[str]) -> list[int]:
     """Line numbers after which chunks end; the last is the number of lines."""
     hashes = [xxhash.xxh3_64_intdigest(line) for line in lines]
@@ -70,50 +78,60 @@ def _removable(text: str) -> Iterator[tuple[int, str]]:
     return ((first, part) for first, n, part in chunks(text) if n >= MIN_LINES and not part.isspace())
 
 
+def _spans(lines: list[str]) -> list[tuple[int, int]]:
+    """First and last line of every two lines that follow each other, but for blank ones between."""
+    full = [number for number, line in enumerate(lines) if line and not line.isspace()]
+    return list(zip(full, full[1:]))
+
+
 def _pairs(text: str) -> Iterator[tuple[int, str]]:
-    """First line and text of every two lines that follow each other."""
+    """First line and text of every pair."""
     lines = text.split("\n")
-    joined = (f"{one}\n{two}" for one, two in zip(lines, lines[1:]))
-    return ((first, part) for first, part in enumerate(joined) if not part.isspace())
+    return ((first, "\n".join(lines[first : last + 1])) for first, last in _spans(lines))
 
 
-def _part_rows(parts_of: Callable[[str], Iterator[tuple[int, str]]]):
+def _part_rows(parts_of: Callable[[str], Iterator[tuple[int, str]]], hash_of: Callable[[str], bytes]):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, signs, firsts, hashes, parts = [], [], [], [], []
+            ids, signs, firsts, spans, hashes, parts = [], [], [], [], [], []
             for id_, sign, text in zip(batch["id"], batch["sign"], batch["text"]):
                 for first, part in parts_of(text):
                     ids.append(id_)
                     signs.append(sign)
                     firsts.append(first)
-                    hashes.append(xxhash.xxh3_128_digest(part))
+                    spans.append(part.count("\n"))
+                    hashes.append(hash_of(part))
                     parts.append(part)
             yield pd.DataFrame({
                 "id": pd.Series(ids, dtype=batch["id"].dtype), "sign": pd.Series(signs, dtype="int64"),
-                "first": pd.Series(firsts, dtype="int64"), "hash": pd.Series(hashes, dtype="object"),
-                "part": pd.Series(parts, dtype="object"),
+                "first": pd.Series(firsts, dtype="int64"), "span": pd.Series(spans, dtype="int32"),
+                "hash": pd.Series(hashes, dtype="object"), "part": pd.Series(parts, dtype="object"),
             })
 
     return rows
 
 
-def repeated_parts(rows: DataFrame, parts_of: Callable[[str], Iterator[tuple[int, str]]]) -> DataFrame:
+def repeated_parts(
+    rows: DataFrame, parts_of: Callable[[str], Iterator[tuple[int, str]]], hash_of: Callable[[str], bytes]
+) -> DataFrame:
     """From (id, sign, text): (id, sign, first) of each part that stands elsewhere
     too, but not of its first place, nor of a pair that overlaps that."""
     id_type = rows.schema["id"].dataType.simpleString()
-    schema = f"id {id_type}, sign bigint, first bigint, hash binary, part string"
-    parts = rows.filter("id is not null and text is not null").mapInPandas(_part_rows(parts_of), schema)
+    schema = f"id {id_type}, sign bigint, first bigint, span int, hash binary, part string"
+    parts = rows.filter("id is not null and text is not null").mapInPandas(_part_rows(parts_of, hash_of), schema)
     place = F.struct("id", "sign", "first")
-    groups = parts.groupBy("hash", "part").agg(F.min(place).alias("kept"), F.max(place).alias("last"))
-    groups = stage(groups.filter("kept <> last").select("hash", "part", "kept"), "line-groups")
-    # The hash alone finds a place's group, unless several texts share it.
-    clash = groups.groupBy("hash").count().filter("count > 1")
-    if clash.isEmpty():
-        met = parts.drop("part").join(groups.drop("part"), "hash")
-    else:
-        met = parts.join(groups, ["hash", "part"])
-    # Chunks have two lines or more, so none begins on the line after its first place.
-    after = F.struct("kept.id", "kept.sign", (F.col("kept.first") + 1).alias("first"))
+    texts = parts.groupBy("hash", "part").agg(F.min(place).alias("kept"), F.max(place).alias("last"))
+    # All texts of a hash count, those that occur once as well.
+    by_hash = texts.groupBy("hash").agg(
+        F.count("*").alias("n_texts"), F.min("kept").alias("kept"), F.max(F.expr("kept <> last")).alias("again")
+    )
+    groups = stage(by_hash.filter("again"), "line-groups")
+    clash = groups.filter("n_texts > 1").select("hash")
+    met = parts.drop("part").join(groups.filter("n_texts = 1").select("hash", "kept"), "hash")
+    if not clash.isEmpty():
+        apart = texts.filter("kept <> last").join(clash, "hash", "left_semi").select("hash", "part", "kept")
+        met = met.unionByName(parts.join(apart, ["hash", "part"]).drop("part"))
+    after = F.struct("kept.id", "kept.sign", (F.col("kept.first") + F.col("span")).alias("first"))
     return met.filter((place != F.col("kept")) & (place != after)).select("id", "sign", "first").distinct()
 
 
@@ -130,28 +148,34 @@ def without_pairs(text: str | None, gone) -> tuple[str | None, int]:
     """The text without the lines of the pairs that begin at some lines, and their number."""
     if text is None or gone is None or not len(gone):
         return text, 0
-    places = {line for first in gone for line in (first, first + 1)}
-    kept = [line for number, line in enumerate(text.split("\n")) if number not in places]
+    lines = text.split("\n")
+    last = dict(_spans(lines))
+    places = {line for first in gone for line in range(first, last[first] + 1)}
+    kept = [line for number, line in enumerate(lines) if number not in places]
     return "\n".join(kept) if any(line and not line.isspace() for line in kept) else "", len(places)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of: Callable[[str], bytes] = content_hash
+) -> DataFrame:
     """All columns of ``docs`` with the text that stays, and n_removed (chunks),
     which replaces a column of that name."""
-    return _dedup(docs, id_col, text_col, _removable, without)
+    return _dedup(docs, id_col, text_col, _removable, without, hash_of)
 
 
-def run_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def run_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of: Callable[[str], bytes] = content_hash
+) -> DataFrame:
     """As ``line_dedup``, but without the lines of all shared runs; n_removed counts lines."""
-    return _dedup(docs, id_col, text_col, _pairs, without_pairs)
+    return _dedup(docs, id_col, text_col, _pairs, without_pairs, hash_of)
 
 
-def _dedup(docs: DataFrame, id_col: str, text_col: str, parts_of: Callable, cut: Callable) -> DataFrame:
+def _dedup(docs: DataFrame, id_col: str, text_col: str, parts_of: Callable, cut: Callable, hash_of: Callable) -> DataFrame:
     columns = [c for c in docs.columns if c != "n_removed"]
     named = small_batches(docs).select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))
     named = named.select("row", F.col("row")[id_col].alias("id"), F.col("row")[text_col].alias("text"))
     named = named.withColumn("sign", F.xxhash64("text"))
-    gone = repeated_parts(named.drop("row"), parts_of).groupBy("id", "sign").agg(F.collect_list("first").alias("gone"))
+    gone = repeated_parts(named.drop("row"), parts_of, hash_of).groupBy("id", "sign").agg(F.collect_list("first").alias("gone"))
     joined = named.drop("text").join(gone, ["id", "sign"], "left")
 
     def keep(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:

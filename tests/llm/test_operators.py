@@ -143,20 +143,24 @@ def test_line_dedup_odd(odd, empty):
 
 
 def brute_runs(rows):
-    """Every run of two or more lines against every earlier place, line by line."""
+    """Every run with two or more lines that aren't blank against every earlier place, line by line."""
     texts = [(i, t.split("\n")) for i, t in sorted(rows)]
     out = {}
     for at, (id_, lines) in enumerate(texts):
         gone = set()
         for other in texts[: at + 1]:
             for a in range(len(other[1])):
-                for b in range(a + 2 if other[0] == id_ else 0, len(lines)):
+                for b in range(len(lines)):
                     n = 0
                     while a + n < len(other[1]) and b + n < len(lines) and other[1][a + n] == lines[b + n]:
                         n += 1
-                    gone |= set(range(b, b + n)) if n >= 2 else set()
+                    full = [k for k in range(b, b + n) if lines[k].strip()]
+                    if other[0] == id_:  # an earlier place, which two lines of the run don't overlap
+                        full = full if len(full) >= 2 and b > a and full[1] - full[0] < b - a else []
+                    if len(full) >= 2:
+                        gone |= set(range(full[0], full[-1] + 1))
         kept = [line for k, line in enumerate(lines) if k not in gone]
-        out[id_] = ("\n".join(kept), len(gone))
+        out[id_] = ("\n".join(kept) if any(line.strip() for line in kept) else "" if gone else "\n".join(lines), len(gone))
     return out
 
 
@@ -177,6 +181,29 @@ def test_run_dedup_finds_all_shared_runs(spark):
     assert got[101] == ("same\nsame\nend", 3) and got[102] == ("x\ny", 2)
 
 
+@pytest.mark.parametrize("hash_of", [line_dedup.content_hash, lambda part: bytes([len(part) % 3])])
+def test_run_dedup_compares_bytes(spark, hash_of):
+    """Texts that occur once stay, also where the hash is so weak that they share it with repeated ones."""
+    rows = [(1, "a\nb"), (2, "a\nb"), (3, "c\nd"), (4, "e\nf\ng\nh"), (5, "x\nf\ng\ny"), (6, "c\nq\nd")]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], SCHEMA)
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.run_dedup(df, hash_of=hash_of).collect()}
+    assert got == brute_runs(rows) and got[3] == ("c\nd", 0) and got[5] == ("x\ny", 2)
+    kept = {r.doc_id: r.text for r in line_dedup.line_dedup(df, hash_of=hash_of).collect()}
+    assert kept[3] == "c\nd" and kept[6] == "c\nq\nd"
+
+
+def test_run_dedup_of_paragraphs(spark):
+    """A shared line between blank lines stays, two shared paragraphs go with the blank line between them."""
+    rows = [
+        (1, "one\n\nThank you for reading.\n\nend"), (2, "two\n\nThank you for reading.\n\nother end"),
+        (3, "p\n\nq\n \nr"), (4, "s\n\np\n\nq\n\nt"), (5, "z\n\nz\n\nz\n\nz"), (6, "\n\n"), (7, "\n\n"),
+    ]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], SCHEMA)
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.run_dedup(df).collect()}
+    assert got == brute_runs(rows)
+    assert got[2] == (rows[1][1], 0) and got[4] == ("s\n\n\nt", 3) and got[6] == got[7] == ("\n\n", 0)
+
+
 def test_run_dedup_odd(odd, empty, spark):
     out = line_dedup.run_dedup(odd)
     assert out.columns == [*odd.columns, "n_removed"] and out.count() == len(ODD)

@@ -4,7 +4,7 @@ from ast import literal_eval
 
 import pytest
 from pyspark.sql import functions as F
-from test_operators import brute_join, brute_lines
+from test_operators import brute_join, brute_runs
 
 import corpus_pipeline
 from mailsieve.llm import mixing, sentencepiece_codec
@@ -37,7 +37,7 @@ def test_language_keeps_all_but_unreadable_texts(stages):
 
 def test_lines(stages):
     given = rows(stages[1])
-    want = brute_lines(given, {r: 0 for r in given})
+    want = brute_runs(given)
     kept = {i: text for i, (text, gone) in want.items() if not gone or text}
     assert dict(rows(stages[2])) == kept
     assert stages[2].filter("n_chars <> char_length(text)").count() == 0
