@@ -33,6 +33,8 @@ BLOCK_QUERIES = 1024
 CELL_GROUPS = 16
 # Queries sent to every task are at most this large.
 MAX_SENT_BYTES = 32 << 20
+# Passes over the vectors that are better than a division into cells.
+MAX_SCANS = 16
 # Rounding slack of a squared distance from a matrix product, by the squared lengths it is a
 # difference of; and of a distance, by the lengths.
 _SLACK = 1e-11
@@ -291,19 +293,34 @@ def _merge(partial: DataFrame, k: int) -> DataFrame:
     )
 
 
+def _query_bytes(queries: DataFrame) -> int:
+    size = F.size("embedding").cast("bigint") * 8 + F.length("query_id")
+    return queries.agg(F.sum(size).alias("b")).first()["b"] or 0
+
+
+def _scanned(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """k rows per query and task; the queries are collected, so they have to be few."""
+    rows = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding").collect()
+    points = np.array([r["embedding"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+    scan = _scan_with([r["query_id"] for r in rows], points, k)
+    return vectors.where(F.col("embedding").isNotNull()).select("uid", "embedding").mapInArrow(scan, _HIT_SCHEMA)
+
+
 def broadcast_join(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Exact search for few queries: one pass over the vectors, no shuffle of them.
 
     The size of the queries is measured; more than ``MAX_SENT_BYTES`` is an error.
     """
-    size = queries.agg(F.sum(F.size("embedding").cast("bigint") * 8 + F.length("query_id")).alias("b")).first()["b"]
-    if (size or 0) > MAX_SENT_BYTES:
-        raise ValueError("these queries are too large to be sent to every task; use the method 'cells'")
-    rows = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding").collect()
-    points = np.array([r["embedding"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
-    scan = _scan_with([r["query_id"] for r in rows], points, k)
-    vectors = vectors.where(F.col("embedding").isNotNull()).select("uid", "embedding")
-    return _merge(vectors.mapInArrow(scan, _HIT_SCHEMA), k)
+    if _query_bytes(queries) > MAX_SENT_BYTES:
+        raise ValueError("these queries are too large to be sent to every task; use the method 'scan'")
+    return _merge(_scanned(queries, vectors, k), k)
+
+
+def scan_join(queries: DataFrame, vectors: DataFrame, k: int, n: int) -> DataFrame:
+    """Exact search in ``n`` batches of queries, each one pass over the vectors without a shuffle."""
+    batch = F.pmod(F.xxhash64("query_id"), F.lit(n))
+    scans = [_scanned(queries.where(batch == number) if n > 1 else queries, vectors, k) for number in range(n)]
+    return _merge(functools.reduce(DataFrame.unionByName, scans), k)
 
 
 def _per(number: str, values: np.ndarray) -> Column:
@@ -365,17 +382,24 @@ def knn_join(
     vectors: DataFrame,
     k: int = 5,
     n_cells: int = 256,
-    method: str = "sent",
+    method: str = "scan",
 ) -> DataFrame:
-    """Exact k nearest vectors of every query.
+    """Exact k nearest vectors of every query, for query tables of any size.
 
-    ``sent`` is for query sets of a known small size: it sends them to every task, and
-    refuses tables that are too large for that. ``cells`` takes query tables of any size.
+    ``scan`` sends the queries to every task, in as many batches of measured size as it
+    takes; where that would be more than ``MAX_SCANS``, the vectors are divided into
+    cells instead, as ``cells`` does at once. ``sent`` sends one batch or is an error.
     """
     if method == "sent":
         return broadcast_join(queries, vectors, k)
-    if method != "cells":
+    if method not in ("scan", "cells"):
         raise ValueError(f"unknown method: {method}")
+    if method == "scan":
+        batches = max(1, -(-_query_bytes(queries) // MAX_SENT_BYTES))
+        # Hashing doesn't divide evenly; a batch holds about half of what may be sent.
+        batches = batches if batches == 1 else 2 * batches
+        if batches <= MAX_SCANS:
+            return scan_join(queries, vectors, k, batches)
     if vectors.where(F.col("embedding").isNotNull()).isEmpty():
         return _merge(vectors.sparkSession.createDataFrame([], _HIT_SCHEMA), k)
     cells = kmeans_cells(vectors, n_cells)

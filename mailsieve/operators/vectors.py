@@ -4,6 +4,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +20,12 @@ Embedder = Callable[[Column], Column]
 
 
 def matrix(vectors: pa.Array) -> np.ndarray:
-    """Equal-width vectors of one Arrow batch as a float64 matrix."""
+    """Equal-width vectors of one Arrow batch as a float64 matrix; an error if widths differ."""
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
+    widths = pa.compute.unique(pa.compute.list_value_length(vectors))
+    if len(widths) > 1:
+        raise ValueError(f"vectors of different widths: {sorted(w for w in widths.to_pylist() if w is not None)}")
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(vectors), -1) if len(vectors) else flat.reshape(0, 0)
 
@@ -113,7 +117,10 @@ def squared_distance(c: Column, query: Sequence[float]) -> Column:
 
     @F.arrow_udf(T.DoubleType())
     def distance(vectors: pa.Array) -> pa.Array:
-        return pa.array(((matrix(vectors) - target) ** 2).sum(axis=1))
+        points = matrix(vectors)
+        if len(points) and points.shape[1] != len(target):
+            raise ValueError(f"vectors of width {points.shape[1]}, a query of width {len(target)}")
+        return pa.array(((points - target) ** 2).sum(axis=1) if len(points) else np.zeros(0))
 
     return distance(c)
 

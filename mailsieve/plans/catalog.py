@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailsieve.functions import dates, display, entities, headers, markup, mime, quality, reply, text
-from mailsieve.operators import cells, filters, keyword, listing, postings, store, vectors
+from mailsieve.operators import cells, codes, filters, keyword, listing, postings, store, vectors
 from mailsieve.operators.ingest import accepted, ingest, ingest_counts, reject_counts
 from mailsieve.operators.parse import explode_parts, parse_messages, with_headers
 from mailsieve.operators.status import index_drift, status, status_rows
@@ -731,7 +731,7 @@ def _queries(spark, folder):
 @query
 def v7_knn_join(spark, folder):
     vecs = views.vectors_view(spark, folder)
-    return _rounded(cells.knn_join(_queries(spark, folder), vecs, NEIGHBOURS, method="cells"))
+    return _rounded(cells.knn_join(_queries(spark, folder), vecs, NEIGHBOURS))
 
 
 @query
@@ -787,6 +787,28 @@ def v8_ann_cells(spark, folder):
     )
 
 
+def _code_search(spark, folder, k):
+    """Ids divisible by 50 as queries, all vectors, and their codes."""
+    vecs = views.vectors_view(spark, folder)
+    asked = _queries(spark, folder).where(F.col("query_id").cast("bigint") % 50 == 0)
+    return asked, vecs, codes.build_codes(vecs, work_folder(spark, "codes"), k)
+
+
+@query
+def v8_codes(spark, folder):
+    """By codes of eight bytes a vector; the best are ranked again by their vectors."""
+    asked, vecs, index = _code_search(spark, folder, 10)
+    return _rounded(codes.code_join(asked, vecs, index, 10))
+
+
+@query
+def v8_codes_recall_check(spark, folder):
+    """Whether codes find nine of ten neighbours."""
+    asked, vecs, index = _code_search(spark, folder, 10)
+    found = codes.recall_report(asked, vecs, index, 10)
+    return found.select("k", "queries", "expected", (F.col("recall") >= MIN_RECALL).alias("recalls"))
+
+
 @query
 def v8_ann_lsh(spark, folder):
     return _rounded(cells.lsh_knn(views.vectors_view(spark, folder), QUERY_VECTOR))

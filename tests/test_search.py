@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mailsieve.operators import cells, filters, keyword, vectors
+from mailsieve.operators import cells, codes, filters, keyword, vectors
 from mailsieve.plans import catalog
 from mailsieve.plans import search as searches
 from mailsieve.sources import views
@@ -163,7 +163,21 @@ def test_long_vectors_lose_no_neighbour(spark):
 def test_queries_too_large_to_send_are_refused(query_table, table, monkeypatch):
     monkeypatch.setattr(cells, "MAX_SENT_BYTES", 100)
     with pytest.raises(ValueError):
-        cells.knn_join(query_table, table, k=3)
+        cells.knn_join(query_table, table, k=3, method="sent")
+
+
+@pytest.mark.parametrize("scans", [100, 1])
+def test_queries_go_in_batches_or_by_cells(query_table, table, points, queries, monkeypatch, scans):
+    monkeypatch.setattr(cells, "MAX_SENT_BYTES", 500)
+    monkeypatch.setattr(cells, "MAX_SCANS", scans)
+    assert found(cells.knn_join(query_table, table, k=3, n_cells=8)) == brute_force(queries, points, 3)
+
+
+def test_vectors_of_other_widths_are_an_error(spark):
+    mixed = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.0, 0.0]), ("c", [1.0])], "uid string, embedding array<float>")
+    for table, query in ((mixed, [1.0, 0.0]), (mixed.limit(1), [1.0, 0.0, 0.0])):
+        with pytest.raises(Exception, match="width"):
+            vectors.knn(table.coalesce(1), query).collect()
 
 
 def test_query_tables_of_any_size_are_answered(spark, emails, index, monkeypatch):
@@ -246,3 +260,29 @@ def test_normalize(apply):
     assert apply(vectors.l2_normalize, [[3.0, 4.0], [0.0, 0.0]], "array<float>") == [
         pytest.approx([0.6, 0.8]), [0.0, 0.0],
     ]
+
+
+def test_codes_find_nine_of_ten_with_little_work(spark, tmp_path):
+    """Ids divisible by 50 against all rows; all work counts."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    table = rows.select(F.col("vec_id").cast("string").alias("uid"), "embedding")
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").cast("string").alias("query_id"), "embedding")
+    built = codes.build_codes(table, str(tmp_path / "codes"), 10)
+    stored = codes.read_codes(spark, str(tmp_path / "codes"))
+    assert stored.rerank == built.rerank and (stored.book.centres == built.book.centres).all()
+    report = codes.recall_report(asked, table, stored, 10).first()
+    assert report.queries == 40 and report.expected == 400
+    assert report.recall >= 0.9 and report.work_share < 0.3
+    with pytest.raises(ValueError):
+        codes.code_join(asked, table, stored, 11)
+
+
+def test_codes_in_batches_of_queries(spark, table, query_table, points, queries, tmp_path):
+    width = len(points[0][1])
+    book = codes.fit_codebook(table, parts=1 if width % 2 else 2, levels=8)
+    index = codes.build_codes(table, str(tmp_path / "codes"), 5, book)
+    one = found(codes.code_join(query_table, table, index, 5))
+    assert found(codes.code_join(query_table, table, index, 5, batch=3)) == one
+    everything = codes.CodeIndex(index.path, index.book, 5, len(points))
+    assert found(codes.code_join(query_table, table, everything, 5)) == brute_force(queries, points, 5)
+    assert codes.code_join(query_table.limit(0), table, index, 5).count() == 0
