@@ -6,11 +6,14 @@ to names such as ``password``, access keys and long hex runs. A fourth kind,
 them), which are secrets only if the corpus says so.
 
 Candidate values travel as hashes. Spark counts for each hash the distinct
-repositories and owners that hold it: first per hash and owner, combined before
-the shuffle, then per hash, so a value that a third of all rows hold is one row
-per task. A value of more than ``max_owners`` owners is a copied example, any
-other is specific to its owner and looks live. Spans of the fourth kind are kept
-only where they look live; spans of the three base kinds always stay.
+repositories that hold it, where copies of one text count once, and its distinct
+owners, combined before the shuffle, so a value that a third of all rows hold is a row
+per task and distinct text. Both counts decide: a value in ``MANY_REPOS`` or more
+repositories of ``SEVERAL_OWNERS`` or more owners is a copied example, and so is one in
+``COPIED_REPOS`` or more, whoever owns them; no credential is written down so often.
+Any other is specific to its owners and looks live, such as one whose text was copied
+to a second owner. Spans of the fourth kind are kept only where they look live; spans
+of the three base kinds always stay.
 
 Offsets count code points, ends are exclusive. Defined results: null texts count
 as empty; null owners and repositories count as one value; repeated rows are
@@ -40,6 +43,7 @@ NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 WEAK = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 8, 16, 32
 MIN_ENTROPY = 3.0
+MANY_REPOS, SEVERAL_OWNERS, COPIED_REPOS = 10, 3, 50
 #: ASCII letters of hex digits and of weak tokens, for byte tests that spare most texts the patterns.
 HEX_BYTES = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 WEAK_BYTES = bytes(120 if re.fullmatch(r"[A-Za-z0-9+/_-]", chr(b)) else 32 for b in range(256))
@@ -101,11 +105,12 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             every = in_order(base + weak_spans(text or "", base))
             counts = Counter(s[0] for s in base)
             rows.append((
-                id_, repo, owner, counts["assign"], counts["access"], counts["hex"],
+                id_, repo, owner, hashlib.sha256((text or "").encode("utf-8", "surrogatepass")).hexdigest() if every else None,
+                counts["assign"], counts["access"], counts["hex"],
                 hashlib.sha256(written(base).encode()).hexdigest(),
                 [{"kind": k, "start": s, "end": e, "hash": hashlib.sha256(v.encode()).hexdigest()} for k, s, e, v in every],
             ))
-        yield pd.DataFrame(rows, columns=["id", "repo", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "found"])
+        yield pd.DataFrame(rows, columns=["id", "repo", "owner", "copy", "n_assign", "n_access", "n_hex", "base_sha256", "found"])
 
 
 FOUND = "array<struct<kind:string,start:bigint,end:bigint,hash:string>>"
@@ -118,32 +123,37 @@ def scan(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col:
         F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"),
     )
     # Ids travel as text: pandas has no whole numbers beside nulls.
-    schema = f"id string, repo string, owner string, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, found {FOUND}"
+    schema = f"id string, repo string, owner string, copy string, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, found {FOUND}"
     return stage(rows.mapInPandas(_scan, schema).withColumn("row", F.expr("uuid()")), "secrets")
 
 
-def ownership(scanned: DataFrame, max_owners: int = 1) -> DataFrame:
+def ownership(
+    scanned: DataFrame, many_repos: int = MANY_REPOS, several_owners: int = SEVERAL_OWNERS, copied_repos: int = COPIED_REPOS
+) -> DataFrame:
     """Per candidate hash: n_repos, n_owners, live."""
-    held = scanned.select("repo", "owner", F.explode("found.hash").alias("hash"))
+    held = scanned.select("repo", "owner", "copy", F.explode("found.hash").alias("hash"))
     held = held.fillna("", ["repo", "owner"])
-    by_repo = held.groupBy("hash", "owner", "repo").agg(F.lit(1).alias("one"))
-    by_owner = by_repo.groupBy("hash", "owner").agg(F.count("*").alias("n"))
-    return by_owner.groupBy("hash").agg(
-        F.sum("n").alias("n_repos"), F.count("*").alias("n_owners")
-    ).withColumn("live", F.col("n_owners") <= max_owners)
+    counted = held.groupBy("hash").agg(
+        F.least(F.count_distinct("repo"), F.count_distinct("copy")).alias("n_repos"), F.count_distinct("owner").alias("n_owners")
+    )
+    repos, owners = F.col("n_repos"), F.col("n_owners")
+    example = ((repos >= many_repos) & (owners >= several_owners)) | (repos >= copied_repos)
+    return counted.withColumn("live", ~example)
 
 
 def secret_scan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id",
-    owner_col: str = "source", max_owners: int = 1,
+    owner_col: str = "source", many_repos: int = MANY_REPOS, several_owners: int = SEVERAL_OWNERS,
+    copied_repos: int = COPIED_REPOS,
 ) -> DataFrame:
-    """Per row: id, n_assign, n_access, n_hex, base_sha256, spans, and how many of
-    its secrets look live (n_live) or are copied examples (n_example)."""
+    """Per row: id, n_assign, n_access, n_hex, base_sha256, spans, how many of its
+    secrets look live (n_live) or are copied examples (n_example), and the most
+    repositories and owners that hold one of its secrets (n_repos, n_owners)."""
     scanned = scan(docs, id_col, text_col, repo_col, owner_col)
-    verdicts = ownership(scanned, max_owners)
+    verdicts = ownership(scanned, many_repos, several_owners, copied_repos)
     spans = scanned.filter(F.size("found") > 0).select("row", F.explode("found").alias("span"))
     judged = spans.join(verdicts, spans["span.hash"] == verdicts["hash"]).select(
-        "row", "span.*", "live", F.array_position(F.array(*map(F.lit, KINDS)), F.col("span.kind")).alias("rank")
+        "row", "span.*", "live", "n_repos", "n_owners", F.array_position(F.array(*map(F.lit, KINDS)), F.col("span.kind")).alias("rank")
     )
     kept = judged.filter((F.col("kind") != "owned") | F.col("live"))
     text = F.array_join(
@@ -155,11 +165,13 @@ def secret_scan(
     )
     # The spans of one row only: as many as its text holds.
     per_row = kept.groupBy("row").agg(
-        text.alias("spans"), F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_example")
+        text.alias("spans"), F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_example"),
+        F.max("n_repos").alias("n_repos"), F.max("n_owners").alias("n_owners"),
     )
     zero = F.lit(0).cast("bigint")
-    return scanned.drop("found", "repo", "owner").join(per_row, "row", "left").select(
+    return scanned.drop("found", "repo", "owner", "copy").join(per_row, "row", "left").select(
         F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_assign", "n_access", "n_hex", "base_sha256",
         F.coalesce("spans", F.lit("")).alias("spans"),
         F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_example", zero).alias("n_example"),
+        F.coalesce("n_repos", zero).alias("n_repos"), F.coalesce("n_owners", zero).alias("n_owners"),
     )
