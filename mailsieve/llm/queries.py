@@ -9,7 +9,7 @@ from mailsieve.llm.conversation_repair import conversation_repair
 from mailsieve.llm.embedding_dedup import embedding_dedup
 from mailsieve.llm.exact_dedup import exact_dedup
 from mailsieve.llm.language_id import language_id
-from mailsieve.llm.licenses import BREAK, RULES, SENTENCES, license_scan
+from mailsieve.llm.licenses import HOLDS, RULES, SENTENCES, license_scan
 from mailsieve.llm.line_dedup import run_dedup
 from mailsieve.llm.mixing import apply_mix
 from mailsieve.llm.ngram_join import ngram_join
@@ -107,20 +107,30 @@ def _values(rows: list[tuple[str, ...]]) -> str:
 
 
 # Sentences are found by a join here, and the rules as text of the joined identifiers.
+_NORMAL = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 ORACLE["op6_license_scan"] = rf"""
 WITH known(form, name) AS (VALUES {_values([(form, name) for name, forms in SENTENCES.items() for form in forms])}),
 rule(rank, licence, line) AS (VALUES {", ".join(f"({n}, '{licence}', ' {'  '.join(ids)} ')" for n, (licence, ids) in enumerate(RULES))}),
+holds(whole, part) AS (VALUES {_values(list(HOLDS.items()))}),
+split AS (
+  SELECT doc_id, regexp_split_to_array(regexp_replace(text, '[.!?]+(?:[ \t\r\f\n]|\z)', chr(10) || chr(10), 'g'),
+    '\n[ \t\r\f*#/%-]*\n') AS parts FROM documents),
+parts AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS n FROM split),
+read AS (SELECT p.*, name FROM parts p LEFT JOIN known ON form = {_NORMAL.format('part')}),
 lines AS (
-  SELECT doc_id, string_split(regexp_replace(text, '{BREAK}', chr(10), 'g'), chr(10)) AS parts FROM documents),
-parts AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS n FROM lines),
+  SELECT doc_id, n, unnest(string_split(part, chr(10))) AS line, generate_subscripts(string_split(part, chr(10)), 1) AS m
+  FROM read WHERE name IS NULL),
 ids AS (
-  SELECT doc_id, n, name FROM parts
-  JOIN known ON form = trim(regexp_replace(lower(part), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))),
-seq AS (SELECT doc_id, list(name ORDER BY n) AS names FROM ids GROUP BY doc_id),
+  SELECT doc_id, n, 0 AS m, name FROM read WHERE name IS NOT NULL
+  UNION ALL SELECT doc_id, n, m, name FROM lines JOIN known ON form = {_NORMAL.format('line')}),
+seq AS (SELECT doc_id, list(name ORDER BY n, m) AS names FROM ids GROUP BY doc_id),
 hit AS (
   SELECT doc_id, licence, min(rank) AS rank FROM seq JOIN rule ON contains(' ' || array_to_string(names, '  ') || ' ', line)
   GROUP BY doc_id, licence),
-found AS (SELECT doc_id, string_agg(licence, ',' ORDER BY rank) AS licenses FROM hit GROUP BY doc_id)
+found AS (
+  SELECT doc_id, string_agg(licence, ',' ORDER BY rank) AS licenses FROM hit h
+  WHERE NOT EXISTS (SELECT 1 FROM holds JOIN hit w ON w.licence = whole WHERE part = h.licence AND w.doc_id = h.doc_id)
+  GROUP BY doc_id)
 SELECT d.doc_id, coalesce(array_to_string(names, ','), '') AS sentence_ids, coalesce(licenses, '') AS licenses
 FROM documents d LEFT JOIN seq ON seq.doc_id = d.doc_id LEFT JOIN found ON found.doc_id = d.doc_id
 """

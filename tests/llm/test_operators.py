@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -347,6 +348,68 @@ def test_license_scan(spark, odd, empty):
     assert licenses.license_scan(odd).count() == len(ODD) and licenses.license_scan(empty).count() == 0
 
 
+WRAPPED = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL ...""",
+    "BSD-3-Clause": """Redistribution and use are permitted provided that the following conditions are met:
+ * 1. Redistributions of source code must retain the above copyright notice,
+ *    this list of conditions and the following disclaimer.
+ *
+ * 2. Redistributions in binary form must reproduce the above copyright notice,
+ *    this list of conditions and the following disclaimer in the documentation
+ *    and/or other materials provided with the distribution.
+ *
+ * 3. Neither the name of the copyright holder nor the names of its
+ *    contributors may be used to endorse or promote products derived from
+ *    this software without specific prior written permission.
+""",
+    "GPL-2.0": """# This program is free software; you can redistribute it and/or
+# modify it under the terms of the GNU General Public License
+# as published by the Free Software Foundation; either version 2
+# of the License, or (at your option) any later version.
+""",
+    "MPL-2.0": "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL ...",
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except',
+}
+
+
+def test_license_texts_as_they_are_shipped(spark):
+    texts = dict(enumerate([*WRAPPED.items(), ("MIT", "a line of prose\nThis project is licensed under the MIT License.\nmore prose"),
+        ("MPL-2.0", "/* SPDX-License-Identifier: MPL-2.0 */"), ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1-or-later"),
+        ("CC0-1.0", "this work is\nlicensed under CC0 1.0"), ("BSD-2-Clause", WRAPPED["BSD-3-Clause"].split(" * 3.")[0])]))
+    df = spark.createDataFrame([(i, t, "en", "s") for i, (_, t) in texts.items()], SCHEMA)
+    got = {r.doc_id: r.licenses for r in licenses.license_scan(df).collect()}
+    assert got == {i: [name] for i, (name, _) in texts.items()}
+
+
+def test_license_scan_is_linear(spark):
+    texts = ["license " + "." * 200_000 + "x", "license " + "\n #" * 60_000 + "x", "license; " * 40_000, "license " + "word " * 200_000]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], SCHEMA)
+    start = time.time()
+    assert all(r.licenses == [] for r in licenses.license_scan(df).collect())
+    assert time.time() - start < 30
+
+
+def test_license_scan_of_odd_rows(odd):
+    got = sorted((str(r.doc_id), r.sentence_ids, r.licenses) for r in licenses.license_scan(odd).collect())
+    assert got == sorted((str(r[0]), [], []) for r in ODD)
+
+
 # 7 n-gram Jaccard join
 
 
