@@ -82,9 +82,13 @@ def _with_equal_neighbour(sorted_: Column, same) -> Column:
 
 def _window_hashes(words: Column, hash_of) -> Column:
     """A hash of every window: of pairs of words, then of pairs of pairs, then of two such fours."""
+
+    def with_next(reach: int):
+        return lambda h: F.zip_with(h, F.slice(h, reach + 1, F.size(h)), lambda a, b: F.xxhash64(a, b))
+
     joined = F.transform(words, lambda w: hash_of(w))
     for reach in (1, 2, 4):
-        joined = let(joined, lambda h, reach=reach: F.zip_with(h, F.slice(h, reach + 1, F.size(h)), lambda a, b: F.xxhash64(a, b)))
+        joined = let(joined, with_next(reach))
     return F.slice(joined, 1, F.size(words) - WINDOW + 1)
 
 
