@@ -102,6 +102,49 @@ def flat_part(raw: Column, kind: Column, name: Column, coding: Column, body: Col
     )
 
 
+_WORD = r"=\?([^?\s*]+)(?:\*[^?\s]*)?\?([BbQq])\?([^?\s]*)\?="
+_PLAIN_WORD = r"=\?[^?\s]+\?[BbQq]\?[^?\s]*\?="
+
+
+def in_charset(data: Column, name: Column) -> Column:
+    """Bytes as text, without what is no character of the charset; null for charsets of several bytes but UTF-8."""
+    latin = F.decode(data, "ISO-8859-1")
+    return (
+        F.when(name.isin(*_UTF8), decode_lossy(data))
+        .when(name.isin(*_ASCII), F.regexp_replace(latin, r"[^\x00-\x7f]", ""))
+        .when(name.isin(*_LATIN1), latin)
+        .when(name.isin(*SINGLE_BYTE), F.call_function("translate", latin, _by_charset(name, 0), _by_charset(name, 1)))
+    )
+
+
+def decode_words(value: Column) -> Column:
+    """A header value with its encoded words decoded.
+
+    White space between two encoded words belongs to neither. Words in a charset that
+    isn't read natively, or whose base64 is damaged, stay as they are.
+    """
+
+    def decoded(word: Column) -> Column:
+        payload_ = F.regexp_extract(word, _WORD, 3)
+        quoted = F.encode(quoted_printable(F.translate(payload_, "_", " ")), "ISO-8859-1")
+        data = F.when(F.lower(F.regexp_extract(word, _WORD, 2)) == "q", quoted).otherwise(base64_bytes(payload_))
+        return F.coalesce(in_charset(data, F.lower(F.regexp_extract(word, _WORD, 1))), word)
+
+    def joined(text: Column) -> Column:
+        words = F.regexp_extract_all(text, F.lit(_PLAIN_WORD), F.lit(0))
+        pieces = let(
+            words,
+            lambda found: F.transform(
+                F.split(text, _PLAIN_WORD),
+                lambda rest, i: F.concat(rest, F.when(i < F.size(found), decoded(F.get(found, i))).otherwise("")),
+            ),
+        )
+        return F.array_join(pieces, "")
+
+    close = F.regexp_replace(value, rf"({_PLAIN_WORD})\s+(?={_PLAIN_WORD})", "$1")
+    return F.when(F.contains(value, F.lit("=?")), let(close, joined)).otherwise(value)
+
+
 # Parts by tree: leaves with their bytes, then texts.
 
 
@@ -196,13 +239,9 @@ def tree_parts(leaves_: Column, rare: Column) -> Column:
 
     def part(leaf: Column, other: Column) -> Column:
         name, data = leaf["charset"], leaf["bytes"]
-        latin = F.decode(data, "ISO-8859-1")
         text = (
             F.when(leaf["encoded"].isNotNull(), other["text"])
-            .when(name.isin(*_UTF8), decode_lossy(data))
-            .when(name.isin(*_ASCII), F.regexp_replace(latin, r"[^\x00-\x7f]", ""))
-            .when(name.isin(*_LATIN1), latin)
-            .otherwise(F.call_function("translate", latin, _by_charset(name, 0), _by_charset(name, 1)))
+            .otherwise(in_charset(data, name))
         )
         utf8 = F.when(leaf["encoded"].isNotNull(), other["utf8_text"]).when(~name.isin(*_UTF8), decode_lossy(data))
         return let(

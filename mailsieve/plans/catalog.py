@@ -3,7 +3,7 @@
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from mailsieve.functions import dates, display, entities, headers, markup, mime, quality, reply, text
@@ -207,6 +207,12 @@ def p1_headers(spark, folder):
     return rows.select("uid", headers.header_record(F.col("headers"), F.col("text")).alias("h")).select("uid", "h.*")
 
 
+@query
+def p1_encoded_subject(spark, folder):
+    """Ingest with encoded words decoded."""
+    return ingest(views.encoded_subject_view(spark, folder), decode_encoded_words=True).select("uid", "subject")
+
+
 @query
 def p2_headers_alt(spark, folder):
     rows = parse_messages(views.raw_mail_view(spark, folder))
@@ -545,6 +551,15 @@ def a7_ingest_stats(spark, folder):
     return ingest_counts(_cleaned(spark, folder))
 
 
+@query
+def a7_observed_counts(spark, folder):
+    """Counts of the very ingest that a sync writes."""
+    raw = views.raw_mail_view(spark, folder).withColumn("seq", F.col("uid").cast("bigint"))
+    counts = Observation()
+    sync_changes(spark, raw, work_folder(spark, "versions"), FETCHED_AT, vectors.hashing_embedder(DIM), counts=counts)
+    return spark.createDataFrame([counts.get], "found bigint, processed bigint, skipped bigint")
+
+
 @query
 def a7_reject_counts(spark, folder):
     return reject_counts(_cleaned(spark, folder))

@@ -241,6 +241,10 @@ ORACLE["p1_headers"] = over(
     {header('Date')} date, {header('Message-ID')} message_id, {header('In-Reply-To')} in_reply_to,
     {header('References')} "references", 'text/plain' content_type, cast(length(raw) AS integer) size FROM raw""",
 )
+ORACLE["p1_encoded_subject"] = over(
+    MAIL,
+    f"""SELECT uid, CASE WHEN cast(uid AS bigint) % 3 = 1 THEN 'plain ' ELSE '' END || {subject_of('subject')} subject FROM mail""",
+)
 ORACLE["p2_headers_alt"] = over(
     RAW,
     f"""SELECT uid, {header('Subject')} subject, {header('From')} sender, {header('To')} recipient,
@@ -484,6 +488,7 @@ ORACLE["a7_ingest_stats"] = over(
     """SELECT count(*) found, count(*) FILTER (reject_reason IS NULL) processed,
     count(*) FILTER (reject_reason IS NOT NULL) skipped FROM ingested""",
 )
+ORACLE["a7_observed_counts"] = ORACLE["a7_ingest_stats"]
 ORACLE["a7_reject_counts"] = over(
     CLEAN, "SELECT coalesce(reject_reason, 'accepted') reason, count(*) messages FROM ingested GROUP BY 1"
 )

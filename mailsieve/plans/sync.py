@@ -2,10 +2,10 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from mailsieve.operators.ingest import accepted, ingest
+from mailsieve.operators.ingest import accepted, ingest, observed
 from mailsieve.operators.store import EPOCH_KEY, LAST_FETCH_KEY, epoch_changed, kv_set, latest, upsert
 from mailsieve.operators.vectors import Embedder, embed_new, hashing_embedder
 from mailsieve.schema import LOAD_SCHEMA
@@ -105,18 +105,19 @@ def read_versioned(spark: SparkSession, folder: str, version: int | None = None)
 
 def sync_changes(
     spark: SparkSession, raw: DataFrame, folder: str, now: str, embedder: Embedder | None = None,
-    batch: tuple[str, int] | None = None,
+    batch: tuple[str, int] | None = None, counts: Observation | None = None,
 ) -> versions.Manifest:
     """Sync a versioned folder: the same state as ``run_sync``, but only changes are written.
 
     ``batch`` names a stream and the number of its batch. A batch that was committed
     is not applied again, and mail, vectors and entries of one become visible at once.
+    ``counts`` is given the messages that were found, processed and skipped.
     """
     parent = versions.read_manifest(spark, folder)
     if batch is not None and parent.batches.get(batch[0], -1) >= batch[1]:
         return parent
-    staged = work_folder(spark, "sync")
-    accepted(ingest(_ordered(raw))).write.parquet(staged)
+    staged, ingested = work_folder(spark, "sync"), ingest(_ordered(raw))
+    accepted(ingested if counts is None else observed(ingested, counts)).write.parquet(staged)
     valid = read_table(spark, staged, LOAD_SCHEMA)
     loaded = raw.agg(F.max("uidvalidity")).first()[0]
     known = parent.entries.get(EPOCH_KEY, "")

@@ -139,6 +139,23 @@ def raw_nested_view(spark: SparkSession, folder: str) -> DataFrame:
     return _as_raw(mail_view(spark, folder), shape, content)
 
 
+def encoded_subject_view(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw mail whose subjects are encoded words, by uid: quoted UTF-8 in two words, base64
+    of UTF-8 after a plain word, and base64 of Latin-1."""
+    kind = F.col("uid").cast("bigint") % 3
+    quoted = lambda c: F.regexp_replace(F.hex(F.encode(c, "utf-8")), "(..)", "=$1")
+    half = (F.char_length("subject") / 2).cast("int")
+    first, second = F.substring("subject", F.lit(1), half), F.substring("subject", half + 1, F.char_length("subject"))
+    coded = lambda name: F.translate(F.base64(F.encode("subject", name)), "\r\n", "")
+    subject = (
+        F.when(kind == 0, F.concat(F.lit("=?utf-8?q?"), quoted(first), F.lit("?=\n =?UTF-8?Q?"), quoted(second), F.lit("?=")))
+        .when(kind == 1, F.concat(F.lit("plain =?utf-8?b?"), coded("utf-8"), F.lit("?=")))
+        .otherwise(F.concat(F.lit("=?ISO-8859-1*en?B?"), coded("iso-8859-1"), F.lit("?=")))
+    )
+    raw = F.concat(F.lit("From: "), "sender", F.lit("\nSubject: "), subject, F.lit("\n\n"), "body")
+    return mail_view(spark, folder).select("uid", "uidvalidity", raw.alias("raw"))
+
+
 def thread_view(spark: SparkSession, folder: str) -> DataFrame:
     """Bodies with the reply structures of real threads, by uid."""
     kind = F.col("uid").cast("bigint") % 6

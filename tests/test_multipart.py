@@ -2,6 +2,7 @@
 
 import base64
 import email
+import email.header
 import quopri
 import random
 
@@ -161,3 +162,23 @@ def test_ingest_of_nested_mail(frame):
 def test_real_noncharacters_survive_damage(apply):
     values = ["a﷐b﷑﷒�".encode() + b"\xff", "﷐".encode() + b"\xff" + "﷒".encode(), b"\xc3("]
     assert apply(mime.decode_lossy, values, "binary") == ["a﷐b﷑﷒�", "﷐﷒", "("]
+
+
+def words(value: str) -> str:
+    """By the standard parser, each word on its own."""
+    out, last = [], None
+    for part, name in email.header.decode_header(value):
+        if isinstance(part, bytes):
+            part = part.decode(name or "ascii", "ignore")
+        out.append(part)
+    return "".join(out)
+
+
+def test_encoded_words(apply):
+    values = [
+        "plain", "=?utf-8?q?Gr=C3=B6=C3=9Fe?=", "=?UTF-8?B?R3LDtsOfZQ==?=", "=?iso-8859-1?Q?caf=E9_au_lait?=",
+        "a =?utf-8?q?b_c?= d", "=?utf-8?q?one?= =?utf-8?q?two?=", "=?utf-8?q?one?=\t =?iso-8859-1?q?tw=F6?= three",
+        "=?windows-1252?q?=80_5?=", "=?koi8-r?B?8NLJ18XU?=", "=?utf-8?q??=", "no =? word", "=?utf-8?q?x=3D=3Fy?=",
+    ]
+    assert apply(mime.decode_words, values) == [words(v) for v in values]
+    assert apply(mime.decode_words, ["=?gb2312?b?xOO6ww==?=", "=?utf-8?b?%?=", None]) == ["=?gb2312?b?xOO6ww==?=", "", None]
