@@ -612,3 +612,17 @@ def test_sentencepiece(odd, empty):
     back = sentencepiece_codec.decode(out).collect()
     assert sorted(str((r.doc_id, r.text)) for r in back) == sorted(str((i, t or "")) for i, t, *_ in ODD)
     assert sentencepiece_codec.encode(empty).count() == 0
+
+
+def test_run_dedup_comes_through_chunks(spark):
+    """Pairs inside of copied chunks are not looked at; the rest of a run is found beside them."""
+    lines = [f"line {n} of the passage" for n in range(12)]
+    given = [(1, "\n".join(["head", *lines, "tail"])), (2, "\n".join(["other head", *lines, "other tail"]))]
+    docs = spark.createDataFrame(given, "id bigint, text string").withColumn("sign", F.xxhash64("text"))
+    found = {r.id: r.places for r in line_dedup.anchored_places(docs, line_dedup.content_hash).collect()}
+    copied = [p for p in found[2] if p.copy and p.is_chunk]
+    inside = {n for p in copied for n in range(p.first, p.first + p.span)}
+    beside = {p.first for p in found[2] if p.copy and not p.is_chunk}
+    assert copied and inside and not inside & beside
+    assert inside | beside == set(range(1, len(lines)))
+    assert not any(p.copy for p in found[1])
