@@ -30,7 +30,7 @@ DIMENSIONS = 512
 GRAM = 3
 SEED = 20
 #: Characters of text encoded at once; bounds the memory of a task.
-PIECE = 1_000_000
+PIECE = 250_000
 #: Up to so many possible values are counted in an array instead of sorted.
 MAX_COUNTED = 1 << 22
 #: Learned languages are sent to every task; more than this is an error.

@@ -52,7 +52,7 @@ ORDERS = (1, 2, 3)
 #: Tokens of a frequency bucket, about; buckets are counted in one task each.
 BUCKET = 500_000
 #: Tokens of a batch of texts, at least, before it is written.
-BATCH = 2_000_000
+BATCH = 1_000_000
 
 
 def spare(n):

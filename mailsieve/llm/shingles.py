@@ -7,7 +7,7 @@ import xxhash
 
 WORDS = 5
 #: Words whose hash a worker remembers; the memory is emptied beyond that.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 # Odd factors that keep the places of a shingle apart.
 PLACES = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) ** 5) & (2**64 - 1) | 1 for k in range(WORDS)], np.uint64)
 
