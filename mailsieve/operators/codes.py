@@ -35,6 +35,8 @@ ASKED = 64
 HELD = 0.94
 ROUNDS = 15
 BLOCK = 4096
+#: Distances of queries to codes that a task holds at once.
+HELD_DISTANCES = 1 << 21
 _CANDIDATES = "query_id string, uid string, rough double"
 
 
@@ -68,7 +70,12 @@ def _gaps(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 def _sampled(vectors: DataFrame, n: int) -> np.ndarray:
     rows = vectors.where(F.col("embedding").isNotNull()).select("uid", "embedding")
-    taken = rows.orderBy(F.md5(F.col("uid").cast("binary")), "uid").limit(n).collect()
+    place = F.md5(F.col("uid").cast("binary"))
+    # Every task sends its first rows to the driver; those that can't be among the first are left out before.
+    few = place < f"{min(2**32 - 1, 2**33 * n // max(1, rows.count())):08x}"
+    if rows.where(few).count() >= n:
+        rows = rows.where(few)
+    taken = rows.orderBy(place, "uid").limit(n).collect()
     return np.array([r["embedding"] for r in taken], dtype=np.float64).reshape(len(taken), -1)
 
 
@@ -167,23 +174,27 @@ def _rough(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
 
 
 def _best_codes(ids: list[str], queries: np.ndarray, book: Codebook, rerank: int):
-    """The best codes of a partition for each query."""
-    names = np.array(ids, dtype=object)
+    """The best codes of a partition for each query.
+
+    What is held is the partition's codes and uids, and the distances of as many queries
+    as make ``HELD_DISTANCES``, whatever the number of codes to rank again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = book.tables(queries)
-        rough, uid = np.zeros((len(names), 0)), np.zeros((len(names), 0), object)
-        for batch in batches:
-            uids = np.array(batch.column("uid").to_pylist(), dtype=object)
-            for at, block in zip(range(0, len(uids), BLOCK), _blocks(batch)):
-                rough = np.concatenate([rough, _rough(tables, block)], axis=1)
-                uid = np.concatenate([uid, np.broadcast_to(uids[at : at + BLOCK], (len(names), len(block)))], axis=1)
-                if rough.shape[1] > rerank:
-                    best = np.argpartition(rough, rerank - 1, axis=1)[:, :rerank]
-                    rough, uid = np.take_along_axis(rough, best, 1), np.take_along_axis(uid, best, 1)
-        for q in range(len(names) if rough.shape[1] else 0):
-            columns = [pa.array([names[q]] * rough.shape[1], pa.string()), pa.array(uid[q], pa.string()), pa.array(rough[q])]
-            yield pa.RecordBatch.from_arrays(columns, ["query_id", "uid", "rough"])
+        held = [batch for batch in batches if batch.num_rows]
+        if not held:
+            return
+        uids = pa.chunked_array([batch.column("uid") for batch in held]).combine_chunks()
+        codes = np.concatenate([block for batch in held for block in _blocks(batch)])
+        held.clear()
+        tables, n = book.tables(queries), min(rerank, len(codes))
+        step = max(1, HELD_DISTANCES // len(codes))
+        for at in range(0, len(ids), step):
+            rough = _rough(tables[:, at : at + step], codes)
+            for name, row in zip(ids[at : at + step], rough):
+                best = np.argpartition(row, n - 1)[:n] if n < len(row) else np.arange(n)
+                columns = [pa.array([name], pa.string()).take(pa.array(np.zeros(n, np.int32))), uids.take(pa.array(best)), pa.array(row[best])]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "uid", "rough"])
 
     return run
 
