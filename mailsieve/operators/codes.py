@@ -73,6 +73,7 @@ def _sampled(vectors: DataFrame, n: int) -> np.ndarray:
     place = F.md5(F.col("uid").cast("binary"))
     # Every task sends its first rows to the driver; those that can't be among the first are left out before.
     few = place < f"{min(2**32 - 1, 2**33 * n // max(1, rows.count())):08x}"
+    few = few | F.col("uid").isNull()
     if rows.where(few).count() >= n:
         rows = rows.where(few)
     taken = rows.orderBy(place, "uid").limit(n).collect()

@@ -1,8 +1,10 @@
 """Vector and keyword search."""
 
+import tracemalloc
 from datetime import datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -286,3 +288,73 @@ def test_codes_in_batches_of_queries(spark, table, query_table, points, queries,
     everything = codes.CodeIndex(index.path, index.book, 5, len(points))
     assert found(codes.code_join(query_table, table, everything, 5)) == brute_force(queries, points, 5)
     assert codes.code_join(query_table.limit(0), table, index, 5).count() == 0
+
+
+def test_the_sample_for_centres_is_narrowed_before_it_is_sent(spark, monkeypatch):
+    rows = [(str(i), [float(i), 1.0]) for i in range(4000)] + [(None, [-1.0, 1.0])]
+    table, sent = spark.createDataFrame(rows, "uid string, embedding array<float>").repartition(4), []
+    order_by = type(table).orderBy
+
+    def counted(self, *columns):
+        sent.append(self.count())
+        return order_by(self, *columns)
+
+    place = F.md5(F.col("uid").cast("binary"))
+    want = [list(r.embedding) for r in table.orderBy(place, "uid").limit(50).collect()]
+    monkeypatch.setattr(type(table), "orderBy", counted)
+    assert codes._sampled(table, 50).tolist() == want
+    assert sent[0] < 400
+    assert len(codes._sampled(table, 9999)) == 4001
+
+
+def test_what_a_task_holds_does_not_grow_with_the_codes_to_rank_again(monkeypatch):
+    monkeypatch.setattr(codes, "HELD_DISTANCES", 1 << 16, raising=False)
+    rng = np.random.default_rng(3)
+    book = codes.Codebook(rng.normal(size=(2, 16, 3)))
+    asked, points = rng.normal(size=(200, 6)), rng.normal(size=(20_000, 6))
+    code = book.encode(points)
+    batches = [
+        pa.RecordBatch.from_arrays(
+            [pa.array([str(n) for n in range(at, at + 5000)]), pa.array([c.tobytes() for c in code[at : at + 5000]], pa.binary())],
+            ["uid", "code"],
+        )
+        for at in range(0, 20_000, 5000)
+    ]
+    run = codes._best_codes([str(n) for n in range(200)], asked, book, 8000)
+    rough, seen = codes._rough(book.tables(asked), code), {}
+    tracemalloc.start()
+    for hit in run(iter(batches)):
+        for query in set(hit.column("query_id").to_pylist()):
+            seen[query] = seen.get(query, 0) + hit.num_rows
+            assert max(hit.column("rough").to_pylist()) <= np.sort(rough[int(query)])[7999]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == {str(n): 8000 for n in range(200)} and peak < 12 << 20
+
+
+def test_parts_of_bounded_size_are_compared(monkeypatch):
+    rng, sizes, nearest = np.random.default_rng(4), [], cells._nearest_in_block
+
+    def sized(queries, vectors, *rest):
+        sizes.append(len(queries) * len(vectors))
+        return nearest(queries, vectors, *rest)
+
+    monkeypatch.setattr(cells, "_nearest_in_block", sized)
+    asked, points = rng.normal(size=(600, 4)), rng.normal(size=(5000, 4))
+    table = pa.table({"uid": [str(n) for n in range(5000)], "embedding": points.tolist(), "cell": [0] * 5000})
+    queries = pa.table({
+        "query_id": [str(n) for n in range(600)], "embedding": asked.tolist(), "cells": pa.array([[0]] * 600, pa.list_(pa.int32())),
+    })
+    joined = cells._block_hits(3)(table, queries)
+    scanned = pa.Table.from_batches(cells._scan_with([str(n) for n in range(600)], asked, 3)(iter(table.to_batches())))
+    want = np.sort(((asked[:, None] - points) ** 2).sum(2), axis=1)[:, :3]
+    for got in (joined, scanned):
+        assert np.allclose(got.column("distance").to_numpy().reshape(600, 3), want)
+    assert max(sizes) <= 256 * 4096
+
+
+def test_recall_is_measured_on_ids_divisible_by_50(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(cells, "recall_report", lambda queries, *rest: asked.append(queries.count()))
+    catalog.v8_recall_report(spark, "/root/testdata/sf0.01")
+    assert asked == [10]
