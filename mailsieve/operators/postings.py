@@ -5,14 +5,18 @@ or body. A keyword, or each literal piece of one with wildcards, can only be in
 message that has all of its trigrams; the rarest of them name the candidates, and
 only candidates are read and matched. Rows are the same as without the index.
 
-The postings are laid out by a hash of the trigram and sorted by it, the mail by a
-hash of the uid and sorted by that, so both are read in a few folders and row groups.
+The postings are lists of uids, some of a trigram in each row, laid out by a hash of the
+trigram and sorted by it, the mail by a hash of the uid and sorted by that, so both are
+read in a few folders and row groups.
 """
 
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailsieve.functions.patterns import or_empty
@@ -25,6 +29,10 @@ BUCKETS = 64
 RAREST = 6
 #: Candidates whose uids are pushed into the scan; more are joined.
 PUSHED = 1000
+#: Postings a task holds before it writes them, at least, unless its batch ends.
+HELD = 2_000_000
+#: Characters of a text that are read at once.
+PIECE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -38,15 +46,57 @@ class PostingIndex:
         return spark.read.parquet(f"{self.path}/mail")
 
     def postings(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/postings")
+        lists = spark.read.parquet(f"{self.path}/postings")
+        return lists.select("gram", F.explode("uids").alias("uid"), "part")
 
     def sizes(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.path}/sizes")
 
 
-def grams(text: Column) -> Column:
-    """Every three characters in a row, in one pass over the text."""
-    return F.regexp_extract_all(F.lower(or_empty(text)), F.lit(f"(?s)(?=({'.' * GRAM}))"), F.lit(1))
+def _packed(text: str) -> np.ndarray:
+    """Every three characters in a row as one number, each once, in order."""
+    codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    if len(codes) < GRAM:
+        return codes[:0]
+    return np.unique(codes[:-2] << np.uint64(42) | codes[1:-1] << np.uint64(21) | codes[2:])
+
+
+def _own(texts: Iterable[bytes]) -> np.ndarray:
+    """The trigrams of a message; long texts are read piece by piece."""
+    found = [_packed("")]
+    for text in (t.decode("utf-8", "replace") for t in texts):
+        found += [_packed(text[i : i + PIECE + GRAM - 1]) for i in range(0, len(text), PIECE)]
+    return np.unique(np.concatenate(found))
+
+
+def _inverted(uids: pa.Array, owners: list[int], own: list[np.ndarray]) -> pa.RecordBatch:
+    """One row a trigram, with the uids of its messages."""
+    keys = np.concatenate(own)
+    order = np.argsort(keys, kind="stable")
+    keys, owner = keys[order], np.repeat(owners, [len(k) for k in own])[order]
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    grams = keys[starts]
+    low = np.uint64((1 << 21) - 1)
+    text = np.stack([grams >> np.uint64(42), grams >> np.uint64(21) & low, grams & low], axis=1).astype("<u4").tobytes().decode("utf-32-le")
+    named = pa.array([text[i : i + GRAM] for i in range(0, len(text), GRAM)], pa.string())
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(keys)), pa.int32()), uids.take(pa.array(owner)))
+    return pa.RecordBatch.from_arrays([named, lists], ["gram", "uids"])
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Messages (uid, subject, body), lower-cased, to trigrams with the uids of some messages."""
+    for batch in batches:
+        subjects, bodies = (batch.column(c).cast(pa.binary()) for c in ("subject", "body"))
+        owners, own, held = [], [], 0
+        for at in range(batch.num_rows):
+            keys = _own((subjects[at].as_py(), bodies[at].as_py()))
+            if len(keys):
+                owners.append(at)
+                own.append(keys)
+                held += len(keys)
+            if held >= HELD or (held and at == batch.num_rows - 1):
+                yield _inverted(batch.column("uid"), owners, own)
+                owners, own, held = [], [], 0
 
 
 def literal_grams(words: list[str]) -> set[str]:
@@ -58,19 +108,20 @@ def literal_grams(words: list[str]) -> set[str]:
 def build_index(mail: DataFrame, path: str, buckets: int = BUCKETS) -> PostingIndex:
     """Store mail, its postings and their sizes below ``path``.
 
-    A message sends each trigram once. Sizes are combined before they are shuffled,
-    and a trigram that most messages have is split among files.
+    A message is listed once under each trigram. A task lists many messages in one row,
+    so what is shuffled and sorted are lists; a trigram that most messages have is split
+    among files.
     """
     spark, index = mail.sparkSession, PostingIndex(path, buckets)
     laid = mail.withColumn("bucket", bucket_of(F.col("uid"), buckets)).hint("rebalance", "bucket")
     laid.sortWithinPartitions("bucket", "uid").write.partitionBy("bucket").option(
         "parquet.bloom.filter.enabled#uid", "true"
     ).parquet(f"{path}/mail")
-    own = F.array_distinct(F.concat(grams(F.col("subject")), grams(F.col("body"))))
-    posted = index.mail(spark).select("uid", F.explode(own).alias("gram"))
-    posted = posted.withColumn("part", bucket_of(F.col("gram"), buckets)).hint("rebalance", "part")
-    posted.sortWithinPartitions("part", "gram", "uid").write.partitionBy("part").parquet(f"{path}/postings")
-    counted = index.postings(spark).groupBy("gram").agg(F.count("*").alias("messages"))
+    lowered = index.mail(spark).select("uid", *(F.lower(or_empty(F.col(c))).alias(c) for c in ("subject", "body")))
+    lists = lowered.mapInArrow(_postings, f"gram string, uids array<{mail.schema['uid'].dataType.simpleString()}>")
+    lists = lists.withColumn("part", bucket_of(F.col("gram"), buckets)).hint("rebalance", "part")
+    lists.sortWithinPartitions("part", "gram").write.partitionBy("part").parquet(f"{path}/postings")
+    counted = spark.read.parquet(f"{path}/postings").groupBy("gram").agg(F.sum(F.size("uids")).alias("messages"))
     counted.sortWithinPartitions("gram").write.parquet(f"{path}/sizes")
     return index
 

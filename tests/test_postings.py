@@ -1,7 +1,9 @@
 """The trigram index gives the rows of the plain scan and reads candidates only."""
 
 import random
+from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,3 +50,24 @@ def test_sizes_name_the_rarest(spark, index):
     assert (gram, size) == ("fil", 1)
     sizes = index.sizes(spark)
     assert sizes.agg(F.sum("messages")).first()[0] == index.postings(spark).count()
+
+
+def test_postings_are_stored_as_lists(spark, index):
+    lists = spark.read.parquet(f"{index.path}/postings").agg(F.count("*").alias("rows"), F.sum(F.size("uids")).alias("uids")).first()
+    assert lists["uids"] == index.postings(spark).count() > 4 * lists["rows"]
+
+
+def test_lists_by_pieces_and_rows(monkeypatch):
+    """Trigrams across the pieces of a text are found once, and lists of some messages hold all."""
+    monkeypatch.setattr(postings, "PIECE", 4)
+    monkeypatch.setattr(postings, "HELD", 5)
+    rows = [("1", "abcdefgh", "abcabcabc"), ("2", "", ""), ("3", "𝒳𝒴𝒵ab", "x"), (None, "abc", "ab"), ("1", "abc", ""), ("5", "", "")]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], ["uid", "subject", "body"])
+    want, got = defaultdict(list), defaultdict(list)
+    for uid, *texts in rows:
+        for gram in {t[i : i + 3] for t in texts for i in range(len(t) - 2)}:
+            want[gram].append(uid)
+    for part in postings._postings(iter([batch, batch.slice(1, 1), batch.slice(0, 0)])):
+        for gram, uids in zip(part.column("gram").to_pylist(), part.column("uids").to_pylist()):
+            got[gram] += uids
+    assert got == want
