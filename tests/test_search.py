@@ -358,3 +358,17 @@ def test_recall_is_measured_on_ids_divisible_by_50(spark, monkeypatch):
     monkeypatch.setattr(cells, "recall_report", lambda queries, *rest: asked.append(queries.count()))
     catalog.v8_recall_report(spark, "/root/testdata/sf0.01")
     assert asked == [10]
+
+
+def test_tokens_are_hashed_once(spark):
+    """Hash buckets are the first 28 bits of MD5; no token is hashed by an expression of its own."""
+    texts = [None, "", "...", "a A b-a_1", "Ünï cödé—dash\xa0nbsp İstanbul ΣΑΣ ΟΔΟΣ. x²½ ٣٤", "日本、語 áb 𝒳𝒴-𝒵 _under_", "only ascii, twice: ascii"]
+    split = F.filter(F.split(F.lower(F.coalesce("t", F.lit(""))), r"[^\p{L}\p{N}]+", -1), lambda t: t != "")
+    bucket = lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 7), 16, 10).cast("int") % 64
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(1)
+    new = df.select(vectors.hashing_embedder(64)(F.col("t")).alias("v"), F.transform(split, bucket).alias("b"))
+    for r in new.collect():
+        counts = np.bincount(r["b"], minlength=64)
+        assert np.allclose(r["v"], counts / (np.linalg.norm(counts) or 1), atol=1e-7)
+    plan = df.select(vectors.hashing_embedder(64)(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan
